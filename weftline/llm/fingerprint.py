@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from . import common
 from .common import U64
 
 EXACT, SKETCH = 32, 256
+MAX_RANGES = 20_000
 WIDTH = EXACT + SKETCH
 _LANE = common.mix(np.arange(1, EXACT + 1, dtype=np.uint64) * U64(0xA24BAED4963EE407))
 
@@ -107,20 +109,29 @@ def compare_next(docs: DataFrame, ranges: int) -> DataFrame:
     """Fingerprints of every text, of its edited text, and the likeness to it and to the next text."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    # real ids that split the range, largest first; the largest of all leads the first range. Bounded by `ranges`.
+    # real ids that split the range, largest first; the largest of all leads the first range. At most MAX_RANGES longs.
+    ranges = min(ranges, MAX_RANGES)
     qs = [i / ranges for i in range(1, ranges)]
-    row = t.agg(F.max(key), *([F.percentile_approx(key, qs, 10000)] if qs else [])).first()
+    row = t.agg(F.max(key), *([F.percentile_approx(key, qs, 10 * MAX_RANGES)] if qs else [])).first()
     if row[0] is None:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    heads = sorted({row[0], *(row[1] if qs else [])}, reverse=True)
-    last = len(heads) - 1
-    # range p holds the ids <= heads[p] and > heads[p + 1]; a head's rows go also to the range before, as ghosts
-    hs = F.array(*map(F.lit, heads))
-    p = F.size(F.filter(hs, lambda x: x >= key)) - 1
-    before = F.when(p == 0, F.lit(last)).otherwise(p - 1)
-    at = F.when(key == F.element_at(hs, p + 1), F.array(F.struct(p.alias("p"), F.lit(False).alias("ghost")), F.struct(before.alias("p"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(p.alias("p"), F.lit(False).alias("ghost"))))
-    rows = t.select("doc_id", "text", key.alias("_k"), F.explode(at).alias("_at")).select("doc_id", "text", "_k", "_at.p", "_at.ghost")
-    rows = rows.repartition(len(heads), "p").sortWithinPartitions("p", "ghost", F.desc("_k"), "text")
+    heads = docs.sparkSession.sparkContext.broadcast(np.array(sorted({row[0], *(row[1] if qs else [])}), np.int64))
+    n = len(heads.value)
+
+    # range p holds the ids <= its head and > the next one; a head's rows go also to the range before, as ghosts
+    @F.pandas_udf("bigint")
+    def place(k: pd.Series) -> pd.Series:
+        """2 * range + whether the id is the range's head."""
+        h, x = heads.value, k.to_numpy()
+        up = np.searchsorted(h, x, "left")
+        return pd.Series(2 * (len(h) - 1 - up) + (h[np.minimum(up, len(h) - 1)] == x))
+
+    at = t.select("doc_id", "text", key.alias("_k")).withColumn("_at", place("_k"))
+    p = F.expr("_at div 2")
+    own = F.struct(p.alias("p"), F.lit(False).alias("ghost"))
+    ghost = F.struct(F.when(p == 0, F.lit(n - 1).cast("bigint")).otherwise(p - 1).alias("p"), F.lit(True).alias("ghost"))
+    rows = at.select("doc_id", "text", "_k", F.explode(F.when(F.col("_at") % 2 == 1, F.array(own, ghost)).otherwise(F.array(own))).alias("_p")).select("doc_id", "text", "_k", "_p.p", "_p.ghost")
+    rows = rows.repartition(n, "p").sortWithinPartitions("p", "ghost", F.desc("_k"), "text")
 
     def run(batches):
         open_: tuple | None = None  # range, doc_id, text of the row that waits for its next
