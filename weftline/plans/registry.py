@@ -1,4 +1,364 @@
 """Queries over the driver tables, one per operator, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import analysis as A
+from ..operators import bm25, fusion, graph
+from ..session import materialize
+
+FIELDS = ["path", "ident", "code"]
+WORDS = "the of and with"
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", F.concat("source", F.lit("/doc_"), "doc_id", F.lit("."), "lang").alias("file"), F.concat("source", F.lit("::doc_"), "doc_id").alias("symbol"), "text", F.lit(0).alias("start_byte"))
+
+
+# -- SQL pieces --------------------------------------------------------------------------------
+
+_P = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\\1 \\2', 'g'), '^_[^_ ]+', ''), '[_ ]+'), lambda x: x <> '')"
+
+
+def _tok(text: str) -> str:
+    return f"flatten(list_transform(list_filter(regexp_split_to_array({text}, '[^A-Za-z0-9_]'), lambda w: w <> ''), lambda w: CASE WHEN len({_P}) > 1 THEN list_append({_P}, w) ELSE {_P} END))"
+
+
+def _terms(text: str) -> str:
+    return f"list_transform({_tok(text)}, lambda t: lower(t))"
+
+
+def _path(p: str) -> str:
+    return _terms(f"array_to_string(list_transform(string_split({p}, '/'), lambda c: regexp_replace(c, '\\.[^.]*$', '')), '/')")
+
+
+_BM = f"""d AS (SELECT doc_id, source || '/doc_' || doc_id || '.' || lang AS file, source || '::doc_' || doc_id AS symbol, text FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, file, {_path('file')} AS p, {_terms('symbol')} AS i, {_terms('text')} AS c FROM d),
+ln AS (SELECT doc_id, file, 2.0 * len(p) + 1.8 * len(i) + 1.0 * len(c) AS len FROM f),
+st AS (SELECT count(*) AS n, avg(len) AS avg FROM ln),
+post AS (SELECT doc_id, term, sum(w) AS tfw FROM (SELECT doc_id, unnest(p) AS term, CAST(2.0 AS DOUBLE) AS w FROM f UNION ALL SELECT doc_id, unnest(i), 1.8 FROM f UNION ALL SELECT doc_id, unnest(c), 1.0 FROM f) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qt AS (SELECT query_id, unnest({_terms('text')}) AS term FROM q),
+s AS (SELECT query_id, post.doc_id, ln.file, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tfw * 2.2 / greatest(tfw + 1.2 * (0.25 + 0.75 * ln.len / greatest(avg, 1e-6)), 1e-6)) AS score
+ FROM qt JOIN post USING (term) JOIN df USING (term) JOIN ln ON ln.doc_id = post.doc_id, st GROUP BY query_id, post.doc_id, ln.file),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file, doc_id) AS rank FROM s)"""
+
+
+def _bm(q: str, rest: str) -> str:
+    return f"WITH q AS ({q}), {_BM} {rest}"
+
+
+# -- queries -----------------------------------------------------------------------------------
+
+
+def tokenize_documents(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", F.posexplode(T.tokenize("coalesce(text, '')")).alias("pos", "token"))
+    return t.groupBy(F.lower("token").alias("term")).agg(F.count("*").alias("n"), F.sum(F.col("pos").cast("bigint")).alias("pos_sum"))
+
+
+def path_tokens(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.posexplode(F.expr(T.path_terms_sql("regexp_replace(url, '^[a-z]+://', '')"))).alias("pos", "term")).select("page_id", F.col("pos").cast("bigint"), "term")
+
+
+def extract_identifiers(spark, d):
+    return _t(spark, d, "pages").select(F.explode(T.identifiers("html")).alias("ident")).groupBy("ident").agg(F.count("*").alias("n"))
+
+
+def string_literals(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.explode(T.string_literals("html")).alias("literal")).groupBy("literal").agg(F.count("*").alias("n"))
+
+
+def preview_truncate(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.preview("text").alias("preview"), T.token_estimate("text").cast("bigint").alias("tokens"))
+
+
+def bm25_postings(spark, d):
+    return bm25.document_frequency(bm25.postings(bm25.field_terms(_docs(spark, d)), FIELDS)).select("term", F.col("df").cast("bigint"))
+
+
+def bm25_stats(spark, d):
+    x = bm25.corpus_stats(bm25.field_terms(_docs(spark, d)), FIELDS)
+    return x.select("n_docs", *(F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in FIELDS))
+
+
+def _search(spark, d, q, k):
+    return bm25.search(bm25.field_terms(_docs(spark, d)), q, FIELDS, k)
+
+
+def _one(spark, text):
+    return spark.createDataFrame([(0, text)], "query_id int, text string")
+
+
+def bm25_search(spark, d):
+    """The ten best documents for a fixed query."""
+    return _search(spark, d, _one(spark, WORDS), 10).select("doc_id", "file", F.round("score", 4).alias("score"), "rank")
+
+
+def bm25_multi_query(spark, d):
+    """Top ten of every benchmark passage, all in one plan."""
+    q = _t(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), "text")
+    return _search(spark, d, q, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+def query_filters(spark, d):
+    return bm25.execute(bm25.field_terms(_docs(spark, d)), f"{WORDS} ext:en -path:src1", 10, FIELDS).select("doc_id", "file", F.round("score", 4).alias("score"))
+
+
+def search_overfetch_cut(spark, d):
+    return bm25.execute(bm25.field_terms(_docs(spark, d)), f"{WORDS} path:src7/", 3, FIELDS).select("doc_id", "file", F.round("score", 4).alias("score"))
+
+
+def _dense(spark, d, k):
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return fusion.nearest(v, v.where("id = 0").select(F.col("embedding").alias("qv")), k)
+
+
+def cosine_topk(spark, d):
+    return _dense(spark, d, 20).select("id", F.round("score", 6).alias("score"))
+
+
+def _lists(spark, d):
+    b = _search(spark, d, _one(spark, WORDS), 50).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    return materialize(_dense(spark, d, 50), "dense"), materialize(b, "bm25")
+
+
+def rrf_fusion(spark, d):
+    return fusion.rrf(*_lists(spark, d)).select("id", F.round("score", 8).alias("score"), "found_by")
+
+
+def weighted_fusion(spark, d):
+    return fusion.weighted(*_lists(spark, d)).select("id", F.round("score", 6).alias("score"), "found_by")
+
+
+def found_by_counts(spark, d):
+    return fusion.rrf(*_lists(spark, d), top=100).groupBy("found_by").agg(F.count("*").alias("n"))
+
+
+def retrieval_metrics(spark, d):
+    r = _search(spark, d, _one(spark, WORDS), 50).select(F.col("doc_id").alias("id"), "rank")
+    m = fusion.metrics(r, _t(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), 10)
+    return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
+
+
+def _versions(spark, d):
+    x = _t(spark, d, "documents").select(F.col("doc_id"), F.concat("source", F.lit("/"), "doc_id").alias("file"), F.col("n_chars").alias("size_bytes"))
+    old = x.withColumn("mtime_ms", F.lit(0))
+    new = x.withColumn("mtime_ms", F.when(F.col("size_bytes") % 3 == 0, 1).otherwise(0))
+    # files of even size existed before, those of a size not divisible by 5 exist now
+    return old.where("size_bytes % 2 = 0").drop("doc_id"), new.where("size_bytes % 5 <> 0").drop("doc_id")
+
+
+_DIFF = """x AS (SELECT source || '/' || doc_id AS file, n_chars AS size FROM documents),
+o AS (SELECT file, size, 0 AS t FROM x WHERE size % 2 = 0), n AS (SELECT file, size, CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END AS t FROM x WHERE size % 5 <> 0),
+df AS (SELECT coalesce(o.file, n.file) AS file, CASE WHEN n.file IS NULL THEN 'removed' WHEN o.file IS NOT NULL AND o.t = n.t AND o.size = n.size THEN 'skipped' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.file = n.file)"""
+
+
+def incremental_diff(spark, d):
+    return A.fingerprint_diff(*_versions(spark, d))
+
+
+def index_report(spark, d):
+    return A.index_report(A.fingerprint_diff(*_versions(spark, d)))
+
+
+def prune_docs(spark, d):
+    old, new = _versions(spark, d)
+    return A.prune(old, A.fingerprint_diff(old, new)).select("file")
+
+
+def last_write_wins(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
+    return graph.last_write_wins(c.select("role", "turn", "conv_id", "text"), ["role", "turn"], "conv_id").select("role", "turn", "conv_id", "text")
+
+
+def _symbols(spark, d):
+    p = _t(spark, d, "part")
+    vis = F.when(F.col("p_size") % 25 == 1, "public").otherwise("private")
+    return p.select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.concat(F.lit("p::"), "p_partkey").alias("scoped_name"), F.when(F.col("p_size") > 45, "const").otherwise("function").alias("kind"), vis.alias("visibility"), F.array("p_type").alias("attributes"), F.lit(None).cast("string").alias("parent"))
+
+
+def _calls(spark, d):
+    """Of each order the first line calls, by name, the part of the second."""
+    li = _t(spark, d, "lineitem").where("l_linenumber in (1, 2)")
+    p = _t(spark, d, "part").select("p_partkey", "p_name")
+    a, b = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src")), li.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
+    e = a.join(b, "l_orderkey").where("src % 50 = 0").select("src", "dst").distinct()
+    return e.join(p, e.dst == p.p_partkey).select(F.concat(F.lit("p::"), "src").alias("caller"), F.col("p_name").alias("callee_name"))
+
+
+_GRAPH = """sy AS (SELECT p_partkey AS seq, p_name AS name, 'p::' || p_partkey AS id, CASE WHEN p_size > 45 THEN 'const' ELSE 'function' END AS kind, p_size % 25 = 1 AS pub, p_type FROM part),
+e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 WHERE a.l_partkey % 50 = 0),
+ca AS (SELECT 'p::' || src AS caller, p_name AS callee FROM e JOIN part ON dst = p_partkey),
+g AS (SELECT DISTINCT caller AS src, sy.id AS dst FROM ca JOIN sy ON callee = sy.name)"""
+_LIVE = "live AS (SELECT id FROM sy WHERE pub UNION SELECT g.dst FROM live JOIN g ON live.id = g.src)"
+
+
+def find_by_name(spark, d):
+    s = _symbols(spark, d)
+    raw = s.unionByName(s.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1_000_000_000))
+    return graph.find_by_name(raw, "small ring").select("scoped_name", "seq")
+
+
+def callers(spark, d):
+    return graph.callers(_calls(spark, d), "small ring").select("caller", "callee_name")
+
+
+def callees(spark, d):
+    c = _calls(spark, d)
+    return graph.callees(c, "p::50").select("caller", "callee_name")
+
+
+def resolve_callee(spark, d):
+    return graph.resolve_callees(_calls(spark, d).select(F.col("callee_name").alias("name")), _symbols(spark, d))
+
+
+def entry_points(spark, d):
+    return A.entry_points(_symbols(spark, d)).select("scoped_name")
+
+
+def dead_symbols(spark, d):
+    return A.dead_symbols(_symbols(spark, d), _calls(spark, d)).select("scoped_name")
+
+
+def potentially_live(spark, d):
+    return A.potentially_live(A.dead_symbols(_symbols(spark, d), _calls(spark, d))).select("scoped_name")
+
+
+def reachability(spark, d):
+    s = _symbols(spark, d)
+    e = _calls(spark, d).join(s.select("name", F.col("scoped_name").alias("dst")), F.col("callee_name") == F.col("name")).select(F.col("caller").alias("src"), "dst").distinct()
+    return graph.reachable(s.where("visibility = 'public'").select(F.col("scoped_name").alias("id")), e)
+
+
+def pagerank(spark, d):
+    c, s = _t(spark, d, "customer"), _t(spark, d, "supplier")
+    n = _t(spark, d, "nation")
+    nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id")).unionByName(_t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id")))
+    pairs = c.groupBy(F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 100 + 1).alias("k")).count().join(s.select("s_suppkey", F.col("s_nationkey").alias("b")), F.col("k") == F.col("s_suppkey")).select("a", "b").distinct()
+    edges = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst")).unionByName(pairs.select(F.concat(F.lit("n"), "a").alias("src"), F.concat(F.lit("n"), "b").alias("dst")))
+    return graph.pagerank(nodes, edges, max_iter=20, tol=0).select("id", F.round("score", 8).alias("score"))
+
+
+def import_resolution(spark, d):
+    """First node (by name) whose name is part of each import path; nodes are the vocabulary of part names."""
+    p = _t(spark, d, "part").select("p_name").distinct()
+    words = p.select(F.explode(F.split("p_name", " ")).alias("node")).distinct()
+    # a substring that is a word of the vocabulary need not be a whole word of the path, hence the theta join; both sides are distinct names
+    return p.join(words, p.p_name.contains(words.node)).groupBy("p_name").agg(F.min("node").alias("node"))
+
+
+def file_imports_top5(spark, d):
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return graph.first_per_group(li, "l_orderkey", ["l_linenumber", "l_partkey"], 5).select("l_orderkey", "l_partkey", F.col("position").cast("bigint"), F.col("more").cast("bigint"))
+
+
+def coverage_correlate(spark, d):
+    s = _t(spark, d, "orders").select(F.col("o_orderkey").alias("symbol"), F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 30 + 1).alias("start_line"), (F.col("o_orderkey") % 30 + 6).alias("end_line"))
+    e = _t(spark, d, "events").select(F.col("user_id").alias("file"), F.dayofmonth("ts").cast("bigint").alias("line"), (F.col("event_type") != "error").alias("covered"))
+    x = A.correlate_coverage(s, e)
+    return x.select("symbol", "lines_total", F.col("lines_covered").cast("bigint"), F.round("coverage", 6).alias("coverage"))
+
+
+_LLVM = '{"data":[{"files":[{"filename":"a.rs","segments":[{"line":10,"col":1,"count":5,"has_count":true,"is_region_entry":true},{"line":11,"col":1,"count":0,"has_count":true,"is_region_entry":true},{"line":12,"col":1,"count":3,"has_count":true,"is_region_entry":true},{"line":0,"col":1,"count":3,"has_count":true,"is_region_entry":true}]}]}]}'
+
+
+def llvm_cov_lines(spark, d):
+    return A.llvm_lines(spark.createDataFrame([(_LLVM,)], "value string"))
+
+
+def tarpaulin_lines(spark, d):
+    return A.tarpaulin_lines(spark.createDataFrame([('{"files":{"k":{"path":"b.rs","covered":[1,2],"uncovered":[3]}}}',)], "value string"))
+
+
+def _commits(spark, d):
+    e = _t(spark, d, "events")
+    return e.select(F.col("user_id").alias("path"), F.col("event_type").alias("author"), "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"), F.when(F.col("event_type") == "error", "-").otherwise(F.floor("value").cast("string")).alias("added"), F.lit("1").alias("removed"))
+
+
+def churn_files(spark, d):
+    c = _commits(spark, d)
+    last = c.agg(F.max("ts").alias("last"))
+    return A.churn(c.crossJoin(F.broadcast(last)).where("ts > last - interval 7 days"))
+
+
+def churn_hotspots(spark, d):
+    return A.hotspots(A.churn(_commits(spark, d))).select("path", "commits")
+
+
+def naming_conflicts(spark, d):
+    s = _t(spark, d, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_name").alias("name"))
+    return A.naming_conflicts(s, "small rink").select("symbol", "severity", F.round("score", 6).alias("score"))
+
+
+def duplication_scores(spark, d):
+    s = _t(spark, d, "part").select("p_partkey", "p_name")
+    return s.select("p_partkey", F.round(A.name_similarity(F.col("p_name"), F.lit("small rink")), 6).alias("score")).where("score > 0.3")
+
+
+QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, callers, callees, resolve_callee, entry_points, dead_symbols, potentially_live, reachability, pagerank, import_resolution, file_imports_top5, coverage_correlate, llvm_cov_lines, tarpaulin_lines, churn_files, churn_hotspots, naming_conflicts, duplication_scores)}
+
+_Q1 = f"SELECT 0 AS query_id, '{WORDS}' AS text"
+_LISTS = f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), qv AS (SELECT e AS q FROM v WHERE id = 0),
+sem AS (SELECT id, list_cosine_similarity(e, q) AS score FROM v, qv ORDER BY score DESC, id LIMIT 50),
+bm AS (SELECT doc_id AS id, round(score, 9) AS score FROM r WHERE rank <= 50),
+sr AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM sem), br AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM bm),
+fu AS (SELECT coalesce(sr.id, br.id) AS id, coalesce(0.4 / (60.0 + sr.k), 0) + coalesce(0.6 / (60.0 + br.k), 0) AS rrf, 0.4 * coalesce(sr.score, 0) + 0.6 * coalesce(br.score / (SELECT max(score) FROM bm), 0) AS wt,
+ CASE WHEN sr.id IS NOT NULL AND br.id IS NOT NULL THEN 'both' WHEN sr.id IS NOT NULL THEN 'semantic_only' ELSE 'bm25_only' END AS found_by FROM sr FULL JOIN br ON sr.id = br.id)"""
+_SEV = "levenshtein(p_name, 'small rink')"
+
+ORACLE_SQL = {
+    "tokenize_documents": f"SELECT lower(tok) AS term, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM (SELECT unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT {_tok('text')} AS t FROM documents)) GROUP BY 1",
+    "path_tokens": f"SELECT page_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS term FROM (SELECT page_id, {_path(chr(39).join(['regexp_replace(url, ', '^[a-z]+://', ', ', '', ')']))} AS t FROM pages)",
+    "extract_identifiers": f"SELECT ident, count(*) AS n FROM (SELECT unnest({_tok('html')}) AS ident FROM pages) WHERE length(ident) >= 2 AND NOT regexp_full_match(ident, '[0-9]+') GROUP BY 1",
+    "string_literals": """SELECT literal, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '"((?:[^"\\\\]|\\\\[\\s\\S])*)"', 1)) AS literal FROM pages) WHERE strlen(literal) BETWEEN 1 AND 199 GROUP BY 1""",
+    "preview_truncate": "SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 240) AS preview, CAST(strlen(text) // 4 AS BIGINT) AS tokens FROM documents",
+    "bm25_postings": _bm(_Q1, "SELECT term, CAST(df AS BIGINT) AS df FROM df"),
+    "bm25_stats": _bm(_Q1, "SELECT count(*) AS n_docs, round(avg(len(p)), 6) AS avg_path, round(avg(len(i)), 6) AS avg_ident, round(avg(len(c)), 6) AS avg_code FROM f"),
+    "bm25_search": _bm(_Q1, "SELECT doc_id, file, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"),
+    "bm25_multi_query": _bm("SELECT item_id AS query_id, text FROM benchmark WHERE text IS NOT NULL", "SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"),
+    "query_filters": _bm(_Q1, "SELECT doc_id, file, round(score, 4) AS score FROM r WHERE rank <= 50 AND file LIKE '%.en' AND NOT contains(file, 'src1') ORDER BY rank LIMIT 10"),
+    "search_overfetch_cut": _bm(_Q1, "SELECT doc_id, file, round(score, 4) AS score FROM r WHERE rank <= 15 AND contains(file, 'src7/') ORDER BY rank LIMIT 3"),
+    "cosine_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) SELECT id, round(list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)), 6) AS score FROM v ORDER BY list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)) DESC, id LIMIT 20",
+    "rrf_fusion": _bm(_Q1, f", {_LISTS} SELECT id, round(rrf, 8) AS score, found_by FROM fu ORDER BY rrf DESC, id LIMIT 10"),
+    "weighted_fusion": _bm(_Q1, f", {_LISTS} SELECT id, round(wt, 6) AS score, found_by FROM fu ORDER BY wt DESC, id LIMIT 10"),
+    "found_by_counts": _bm(_Q1, f", {_LISTS} SELECT found_by, count(*) AS n FROM fu GROUP BY 1"),
+    "retrieval_metrics": _bm(_Q1, """, h AS (SELECT rank, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS rel FROM r WHERE rank <= 50),
+k AS (SELECT count(DISTINCT doc_id) AS nrel FROM labels WHERE quality = 1), m AS (SELECT least((SELECT nrel FROM k), count(*)) AS ideal FROM h)
+SELECT round(sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) / 10.0, 6)::DOUBLE AS precision, round(sum(rel) / (SELECT nrel FROM k), 6)::DOUBLE AS recall, round(1.0 / min(CASE WHEN rel = 1 THEN rank END), 6)::DOUBLE AS mrr,
+round(sum(rel / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM m, range(1, m.ideal + 1) AS t(i)), 6)::DOUBLE AS ndcg FROM h"""),
+    "incremental_diff": f"WITH {_DIFF} SELECT file, status FROM df",
+    "index_report": f"WITH {_DIFF} SELECT count(*) FILTER (status <> 'removed') AS total, count(*) FILTER (status = 'changed') AS parsed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'removed') AS removed FROM df",
+    "prune_docs": f"WITH {_DIFF} SELECT o.file FROM o WHERE file IN (SELECT file FROM df WHERE status = 'skipped')",
+    "last_write_wins": "SELECT role, turn, conv_id, text FROM (SELECT conv_id, turn, role, min(text) AS text FROM conversations GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY role, turn ORDER BY conv_id DESC) = 1",
+    "find_by_name": f"WITH {_GRAPH}, raw AS (SELECT id, name, seq FROM sy UNION ALL SELECT id, name, seq + 1000000000 FROM sy WHERE seq % 3 = 0), k AS (SELECT id, max(seq) AS seq FROM raw GROUP BY id) SELECT raw.id AS scoped_name, k.seq FROM raw JOIN k USING (id) WHERE name = 'small ring'",
+    "callers": f"WITH {_GRAPH} SELECT caller, callee AS callee_name FROM ca WHERE callee = 'small ring'",
+    "callees": f"WITH {_GRAPH} SELECT caller, callee AS callee_name FROM ca WHERE caller = 'p::50'",
+    "resolve_callee": f"WITH {_GRAPH} SELECT name, id AS scoped_name FROM sy WHERE name IN (SELECT callee FROM ca) QUALIFY row_number() OVER (PARTITION BY name ORDER BY pub DESC, seq) = 1",
+    "entry_points": f"WITH {_GRAPH} SELECT id AS scoped_name FROM sy WHERE pub",
+    "dead_symbols": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live)",
+    "potentially_live": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live) AND (kind = 'const' OR regexp_matches(p_type, 'derive|macro|no_mangle|export_name|link_name|used'))",
+    "reachability": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id FROM live",
+    "pagerank": """WITH RECURSIVE no AS (SELECT 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
+e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT DISTINCT 'n' || c_nationkey, 'n' || s_nationkey FROM customer JOIN supplier ON c_custkey % 100 + 1 = s_suppkey),
+deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM no),
+pr AS (SELECT id, 1.0::DOUBLE / n AS s, 0 AS i FROM no, c UNION ALL
+ SELECT x.id, (0.15 / n + 0.85 * coalesce(sum(pr.s / deg.d), 0))::DOUBLE, max(x.i) + 1 FROM (SELECT DISTINCT no.id, pr.i FROM no, pr WHERE pr.i < 20) x CROSS JOIN c LEFT JOIN e ON e.dst = x.id LEFT JOIN deg ON deg.src = e.src LEFT JOIN pr ON pr.id = e.src GROUP BY x.id, n)
+SELECT id, round(s, 8) AS score FROM pr WHERE i = 20""",
+    "import_resolution": "WITH p AS (SELECT DISTINCT p_name FROM part), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS node FROM p) SELECT p_name, min(node) AS node FROM p JOIN w ON contains(p_name, node) GROUP BY p_name",
+    "file_imports_top5": "SELECT l_orderkey, l_partkey, row_number() OVER w AS position, greatest(count(*) OVER (PARTITION BY l_orderkey) - 5, 0) AS more FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) QUALIFY row_number() OVER w <= 5",
+    "coverage_correlate": "WITH l AS (SELECT user_id AS file, day(ts) AS line, max(CAST(event_type <> 'error' AS INT)) AS c FROM events GROUP BY 1, 2) SELECT o_orderkey AS symbol, count(*) AS lines_total, CAST(sum(c) AS BIGINT) AS lines_covered, round(sum(c) / count(*), 6) AS coverage FROM orders JOIN l ON o_custkey = file AND line BETWEEN o_orderkey % 30 + 1 AND o_orderkey % 30 + 6 GROUP BY o_orderkey",
+    "llvm_cov_lines": "SELECT * FROM (VALUES ('a.rs', 10::BIGINT, true), ('a.rs', 11, false), ('a.rs', 12, true)) t(file, line, covered)",
+    "tarpaulin_lines": "SELECT * FROM (VALUES ('b.rs', 1::BIGINT, true), ('b.rs', 2, true), ('b.rs', 3, false)) t(file, line, covered)",
+    "churn_files": "SELECT user_id AS path, count(*) AS commits, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS authors, CAST(coalesce(sum(CASE WHEN event_type <> 'error' THEN floor(value) END), 0) AS BIGINT) AS lines_added, count(*) AS lines_removed, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_modified FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1",
+    "churn_hotspots": "SELECT user_id AS path, count(*) AS commits FROM events GROUP BY 1 HAVING count(*) > 3",
+    "naming_conflicts": f"SELECT p_partkey AS symbol, 'warning' AS severity, round(1 - {_SEV} / greatest(strlen(p_name), 10), 6) AS score FROM part WHERE p_name <> 'small rink' AND {_SEV} <= 2 UNION ALL SELECT p_partkey, 'block', 1.0 FROM part WHERE p_name = 'small rink' UNION ALL SELECT p_partkey, 'warning', 0.95 FROM part WHERE p_name <> 'small rink' AND lower(p_name) = 'small rink'",
+    "duplication_scores": f"SELECT p_partkey, round(1 - {_SEV} / greatest(strlen(p_name), 10), 6) AS score FROM part WHERE round(1 - {_SEV} / greatest(strlen(p_name), 10), 6) > 0.3",
+}
