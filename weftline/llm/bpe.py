@@ -150,7 +150,7 @@ class Encoder:
     """Cached pair merging by the ranks of a .tiktoken file."""
 
     #: Longest piece (bytes) and most pieces that the cache keeps; others are merged each time.
-    CACHE_PIECE, CACHE_SIZE = 64, 400_000
+    CACHE_PIECE, CACHE_SIZE = 64, 250_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:

@@ -30,7 +30,19 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _pow: dict[str, np.ndarray] = {}
 
 
+#: Arrow batches carry whole texts, so they are limited by bytes rather than by rows alone.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes in this session, unless it has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

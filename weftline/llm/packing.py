@@ -36,7 +36,7 @@ SAFE = re.compile(r"[\t-\r\x20-\x7E¡-įĲ-ňŊ-ž‐-‧‰-⁞€]*")
 
 
 class Tokens:
-    CACHE = 700_000
+    CACHE = 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -28,7 +28,7 @@ _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
 class Counter:
-    CACHE = 400_000
+    CACHE = 250_000
 
     def __init__(self, path: str):
         import sentencepiece
