@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_REVISIT = 100
-FILE_BYTES, SPLIT_BYTES = 1 << 30, 16 << 20
+FILE_BYTES, SPLIT_BYTES, MAX_TASKS = 1 << 30, 16 << 20, 50_000
 MAGIC, PIECE = b"\x1f\x8b\x08", 1 << 16
 READ_SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string"
 
@@ -143,7 +143,9 @@ def members(f, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of the manifest's files; split into byte ranges whatever the files' sizes."""
     splits = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))).alias("start"))
-    splits = splits.repartition("path", "start")
+    # a task per split (at most MAX_TASKS): the rows are too narrow for adaptive execution to see what they cost
+    total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    splits = splits.repartition(min(int(total), MAX_TASKS), "path", "start")
 
     def run(batches):
         for b in batches:
