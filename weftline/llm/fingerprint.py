@@ -110,7 +110,7 @@ def compare_next(docs: DataFrame, ranges: int) -> DataFrame:
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     # real ids that split the range, largest first; the largest of all leads the first range. At most MAX_RANGES longs.
-    ranges = min(ranges, MAX_RANGES)
+    ranges = max(1, min(ranges, MAX_RANGES))
     qs = [i / ranges for i in range(1, ranges)]
     row = t.agg(F.max(key), *([F.percentile_approx(key, qs, 10 * MAX_RANGES)] if qs else [])).first()
     if row[0] is None:
@@ -131,7 +131,7 @@ def compare_next(docs: DataFrame, ranges: int) -> DataFrame:
     own = F.struct(p.alias("p"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.when(p == 0, F.lit(n - 1).cast("bigint")).otherwise(p - 1).alias("p"), F.lit(True).alias("ghost"))
     rows = at.select("doc_id", "text", "_k", F.explode(F.when(F.col("_at") % 2 == 1, F.array(own, ghost)).otherwise(F.array(own))).alias("_p")).select("doc_id", "text", "_k", "_p.p", "_p.ghost")
-    rows = rows.repartition(n, "p").sortWithinPartitions("p", "ghost", F.desc("_k"), "text")
+    rows = rows.repartitionById(n, F.col("p").cast("int")).sortWithinPartitions("p", "ghost", F.desc("_k"), "text")
 
     def run(batches):
         open_: tuple | None = None  # range, doc_id, text of the row that waits for its next
@@ -164,4 +164,4 @@ def compare_next(docs: DataFrame, ranges: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return compare_next(docs, max(1, docs.rdd.getNumPartitions()))
+    return compare_next(docs, 2 * docs.rdd.getNumPartitions())
