@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 from .graph import reachable
 
 
@@ -14,11 +15,22 @@ def entry_points(symbols: DataFrame) -> DataFrame:
     return symbols.where(((F.col("name") == "main") & (F.col("kind") == "function")) | test | F.col("visibility").isin("public", "crate") | (F.col("kind") == "impl"))
 
 
+def reached(roots: DataFrame, symbols: DataFrame, calls: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(id) that calls (caller, callee_name) and edges `more` (src, dst) reach from roots, which are included.
+
+    A name is a node between its callers and its definitions, so a name of many of both costs their sum.
+    """
+    named = lambda c: F.struct(F.lit(True).alias("name"), F.col(c).alias("id"))
+    plain = lambda c: F.struct(F.lit(False).alias("name"), F.col(c).alias("id"))
+    edges = calls.select(plain("caller").alias("src"), named("callee_name").alias("dst")).unionByName(symbols.select(named("name").alias("src"), plain("scoped_name").alias("dst")))
+    if more is not None:
+        edges = edges.unionByName(more.select(plain("src").alias("src"), plain("dst").alias("dst")))
+    return reachable(roots.select(plain("scoped_name").alias("id")), materialize(edges.distinct(), "call-edges")).where("not id.name").select("id.id")
+
+
 def dead_symbols(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Symbols (scoped_name, name, kind, visibility, attributes, parent) that no entry point reaches, without modules, fields and variants."""
-    defs = symbols.select("name", F.col("scoped_name").alias("dst"))
-    edges = calls.join(defs, calls.callee_name == defs.name).select(F.col("caller").alias("src"), "dst").unionByName(symbols.where("parent is not null").select(F.col("scoped_name").alias("src"), F.col("parent").alias("dst")))
-    live = reachable(entry_points(symbols).select(F.col("scoped_name").alias("id")), edges.distinct())
+    live = reached(entry_points(symbols), symbols, calls, symbols.where("parent is not null").select(F.col("scoped_name").alias("src"), F.col("parent").alias("dst")))
     return symbols.join(live, symbols.scoped_name == live.id, "left_anti").where(~F.col("kind").isin("module", "field", "variant"))
 
 

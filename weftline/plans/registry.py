@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -194,10 +195,22 @@ def _calls(spark, d):
     return e.join(p, e.dst == p.p_partkey).select(F.concat(F.lit("p::"), "src").alias("caller"), F.col("p_name").alias("callee_name"))
 
 
+def _all_calls(spark, d):
+    """The part of each line of an order calls, by name, that of the next line; no line and no caller is left out."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    e = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null").distinct()
+    p = _t(spark, d, "part").select("p_partkey", "p_name")
+    return e.join(p, e.dst == p.p_partkey).select(F.concat(F.lit("p::"), "src").alias("caller"), F.col("p_name").alias("callee_name"))
+
+
 _GRAPH = """sy AS (SELECT p_partkey AS seq, p_name AS name, 'p::' || p_partkey AS id, CASE WHEN p_size > 45 THEN 'const' ELSE 'function' END AS kind, p_size % 25 = 1 AS pub, p_type FROM part),
 e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 WHERE a.l_partkey % 50 = 0),
 ca AS (SELECT 'p::' || src AS caller, p_name AS callee FROM e JOIN part ON dst = p_partkey),
 g AS (SELECT DISTINCT caller AS src, sy.id AS dst FROM ca JOIN sy ON callee = sy.name)"""
+_WHOLE = _GRAPH.partition(",\n")[0] + """,
+e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL),
+ca AS (SELECT 'p::' || src AS caller, p_name AS callee FROM e JOIN part ON dst = p_partkey),
+g AS (SELECT DISTINCT caller AS src, 'name ' || callee AS dst FROM ca UNION ALL SELECT 'name ' || name, id FROM sy)"""
 _LIVE = "live AS (SELECT id FROM sy WHERE pub UNION SELECT g.dst FROM live JOIN g ON live.id = g.src)"
 
 
@@ -238,6 +251,31 @@ def reachability(spark, d):
     return graph.reachable(s.where("visibility = 'public'").select(F.col("scoped_name").alias("id")), e)
 
 
+def all_callers(spark, d):
+    return graph.callers(_all_calls(spark, d), "small ring").select("caller", "callee_name")
+
+
+def all_callees(spark, d):
+    return graph.callees(_all_calls(spark, d), "p::51").select("caller", "callee_name")
+
+
+def all_resolve_callee(spark, d):
+    return graph.resolve_callees(_all_calls(spark, d).select(F.col("callee_name").alias("name")), _symbols(spark, d))
+
+
+def all_dead_symbols(spark, d):
+    return A.dead_symbols(_symbols(spark, d), _all_calls(spark, d)).select("scoped_name")
+
+
+def all_potentially_live(spark, d):
+    return A.potentially_live(A.dead_symbols(_symbols(spark, d), _all_calls(spark, d))).select("scoped_name")
+
+
+def all_reachability(spark, d):
+    s = _symbols(spark, d)
+    return A.reached(s.where("visibility = 'public'"), s, _all_calls(spark, d))
+
+
 def pagerank(spark, d):
     c, s = _t(spark, d, "customer"), _t(spark, d, "supplier")
     n = _t(spark, d, "nation")
@@ -303,7 +341,7 @@ def duplication_scores(spark, d):
     return s.select("p_partkey", F.round(A.name_similarity(F.col("p_name"), F.lit("small rink")), 6).alias("score")).where("score > 0.3")
 
 
-QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, callers, callees, resolve_callee, entry_points, dead_symbols, potentially_live, reachability, pagerank, import_resolution, file_imports_top5, coverage_correlate, llvm_cov_lines, tarpaulin_lines, churn_files, churn_hotspots, naming_conflicts, duplication_scores)}
+QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, callers, callees, resolve_callee, entry_points, dead_symbols, potentially_live, reachability, all_callers, all_callees, all_resolve_callee, all_dead_symbols, all_potentially_live, all_reachability, pagerank, import_resolution, file_imports_top5, coverage_correlate, llvm_cov_lines, tarpaulin_lines, churn_files, churn_hotspots, naming_conflicts, duplication_scores)}
 
 _Q1 = f"SELECT 0 AS query_id, '{WORDS}' AS text"
 _LISTS = f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), qv AS (SELECT e AS q FROM v WHERE id = 0),
@@ -346,6 +384,12 @@ round(sum(rel / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM m, range(1,
     "dead_symbols": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live)",
     "potentially_live": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live) AND (kind = 'const' OR regexp_matches(p_type, 'derive|macro|no_mangle|export_name|link_name|used'))",
     "reachability": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id FROM live",
+    "all_callers": f"WITH {_WHOLE} SELECT caller, callee AS callee_name FROM ca WHERE callee = 'small ring'",
+    "all_callees": f"WITH {_WHOLE} SELECT caller, callee AS callee_name FROM ca WHERE caller = 'p::51'",
+    "all_resolve_callee": f"WITH {_WHOLE} SELECT name, id AS scoped_name FROM sy WHERE name IN (SELECT callee FROM ca) QUALIFY row_number() OVER (PARTITION BY name ORDER BY pub DESC, seq) = 1",
+    "all_dead_symbols": f"WITH RECURSIVE {_WHOLE}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live)",
+    "all_potentially_live": f"WITH RECURSIVE {_WHOLE}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live) AND (kind = 'const' OR regexp_matches(p_type, 'derive|macro|no_mangle|export_name|link_name|used'))",
+    "all_reachability": f"WITH RECURSIVE {_WHOLE}, {_LIVE} SELECT id FROM live WHERE id IN (SELECT id FROM sy)",
     "pagerank": """WITH RECURSIVE no AS (SELECT 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
 e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT DISTINCT 'n' || c_nationkey, 'n' || s_nationkey FROM customer JOIN supplier ON c_custkey % 100 + 1 = s_suppkey),
 deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM no),
