@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from weftline.llm import neardup
 from weftline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -14,3 +15,17 @@ def test_calls_leave_no_caller_and_no_line_out(spark):
     first = li.join(longer, "l_orderkey").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("k"))
     assert first.select(F.concat(F.lit("p::"), "k").alias("caller")).join(x, "caller", "left_anti").count() == 0
     assert x.where("cast(substring(caller, 4) as bigint) % 50 <> 0").count() > 0.9 * x.count() > 0
+
+
+def drifting(salt):
+    """Texts of 40 words, each two words on from the one before: only neighbours are linked (36 of 40 shingles)."""
+    w = [f"s{salt}x{i}" for i in range(46)]
+    return [" ".join(w[k : k + 40]) for k in (0, 2, 4, 6)]
+
+
+def test_neardup_links_border_members_of_two_components_a_bucket(spark):
+    # 1~2, 2~4, 4~3; every bucket that 2 and 4 share holds all four, is led by 1 and then by 3, and ends with {1, 2} and {3, 4}
+    a, b, c, d = drifting(424)
+    rows = [(1, a), (2, b), (3, d), (4, c)]
+    out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {1: (1, True), 2: (1, False), 3: (1, False), 4: (1, False)}

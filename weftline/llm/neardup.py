@@ -201,8 +201,9 @@ def _links(docs: DataFrame, bucket: DataFrame) -> DataFrame:
     if done is None:
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     links = done.where(F.col("inter") * DEN >= F.col("uni") * NUM)
-    if active.limit(1).count():
-        # the exact rest: unconnected members of one bucket, unless a leader's distances rule the pair out
+    if labelled.limit(1).count():
+        # the exact rest of every bucket that still holds two components or more, led or not: members of different
+        # components, unless a leader's distances rule the pair out
         comp = labelled
         past = common.persist(past.where("d is not null"), "nd-near")
         x = comp.select("key", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca"))
