@@ -1,5 +1,7 @@
 """Cases of the review: each failed before its finding was settled."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from weftline.llm import neardup
@@ -29,3 +31,23 @@ def test_neardup_links_border_members_of_two_components_a_bucket(spark):
     rows = [(1, a), (2, b), (3, d), (4, c)]
     out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert out == {1: (1, True), 2: (1, False), 3: (1, False), 4: (1, False)}
+
+
+def test_neardup_counts_every_link(spark, monkeypatch):
+    # near copies that are all linked, and a long drift whose ends aren't; small blocks, so that pairs cross them
+    monkeypatch.setattr(neardup, "BLOCK", 2048, raising=False)
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :]) for k in r.sample(range(5, 195), 40)]
+    w = [f"d{i}" for i in range(140)]
+    texts += [" ".join(w[k : k + 60]) for k in range(0, 60, 2)] + [" ".join(["solo", *w[::-1][:30]]), "alone", "p q r s t u v w x y z", "p q r s t u v w x y z"]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    sets = {i: frozenset(tuple(t.split()[k : k + 3]) for k in range(max(1, len(t.split()) - 2))) for i, t in rows}
+    reps = {}
+    for i, s in sorted(sets.items()):
+        reps.setdefault(s, i)
+    exp = {i: sum(i != j and len(s & sets[j]) * 100 >= 85 * len(s | sets[j]) for j in reps.values()) for s, i in reps.items()}
+    out = {x["doc_id"]: x["links"] for x in neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {i: exp[reps[s]] for i, s in sets.items()}
+    assert out[0] == 39

@@ -12,8 +12,9 @@ Candidates of a bucket are not paired with each other. Each round pairs every un
 its bucket's leader (a linear number of pairs), confirms on full sets, and merges components; members
 that a confirmed link has joined need no further pair. What is left after `ROUNDS` rounds (members of a
 bucket that belong to different components) is compared pair by pair, except where the exact distances
-to a leader prove by the triangle inequality that the pair can't be linked, so no link inside a
-bucket is lost and nothing is capped. Hot keys in the joins are narrow rows which AQE splits.
+to a leader prove by the triangle inequality that the pair can't be linked, so no link between
+components of a bucket is lost and nothing is capped. Components are found so; the number of links is counted
+afterwards over all pairs of each component. Hot keys in the joins are narrow rows which AQE splits.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and stay alone; fewer than
 three words make one shingle of the whole sequence; several rows with one doc_id are all kept or all
@@ -25,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,6 +34,8 @@ from .common import U64
 
 R, M, ROUNDS = 3, 8, 2
 NUM, DEN = 85, 100
+#: Shingles of a block and columns of a matrix in the count of links.
+BLOCK, COLUMNS = 1 << 19, 1 << 12
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, 2 * M * R, dtype=np.uint64) * U64(2) + U64(1)
 _B = _rng.integers(1, 1 << 63, 2 * M * R, dtype=np.uint64)
@@ -142,10 +146,11 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, count: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, links): one row per row of `docs`.
 
-    links: confirmed links of the row's class representative to representatives of other classes.
+    links: links of the row's class representative to representatives of other classes, counted exactly over
+    all pairs of its component; null without `count`.
     """
     sig = common.persist(_signatures(docs), "nd-sig")
     some = sig.where("n_shingles > 0 and doc_id is not null")
@@ -157,11 +162,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     keys = keyed.select("id", "n_shingles", F.explode(F.expr(f"flatten(transform(slice(parts, 1, {M}), x -> transform(slice(parts, {M + 1}, {M}), y -> xxhash64(x, y))))")).alias("key"))
     lead = common.persist(keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).where("lead <> _last").select("key", "lead"), "nd-lead")
     bucket = common.persist(keys.join(lead, "key"), "nd-bucket")
-    links = _links(docs, bucket)
-    comp = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
+    comp = components(_links(docs, bucket))
+    degree = _degrees(docs, comp, keyed.select("id", "n_shingles")) if count else comp.select("id", F.lit(None).cast("bigint").alias("count"))
     full = cls.join(comp, cls.rep == comp.id, "left").drop("id").join(degree, cls.rep == degree.id, "left")
-    full = full.select("n_shingles", "s1", "s2", F.coalesce("comp", "rep").alias("component_id"), F.coalesce("count", F.lit(0)).alias("links"))
+    full = full.select("n_shingles", "s1", "s2", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("count", F.lit(0)) if count else F.col("count")).alias("links"))
     # rows without a set, or without an id, stand for themselves
     out = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "s1", "s2").join(full, ["n_shingles", "s1", "s2"])
     out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "links")
@@ -179,7 +183,7 @@ def _links(docs: DataFrame, bucket: DataFrame) -> DataFrame:
         if active.limit(1).count() == 0:
             break
         heads = active.where("id = lead").select("key", F.col("n_shingles").alias("n_lead"))
-        pairs = active.where("id <> lead").join(heads, "key").where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = active.where("id <> lead").join(heads, "key").where(fits).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         got = common.persist(_confirm(pairs, sets), "nd-confirmed")
@@ -187,7 +191,8 @@ def _links(docs: DataFrame, bucket: DataFrame) -> DataFrame:
         links = done.where(F.col("inter") * DEN >= F.col("uni") * NUM)
         comp = components(links)
         # rows keep their distance to each round's leader; buckets of one component are finished
-        near.append(active.join(done.select(F.col("a").alias("lead"), F.col("b").alias("id"), ((F.col("uni") - F.col("inter")) / F.col("uni")).alias("d")), ["lead", "id"], "left").select("key", "id", "lead", F.when(F.col("id") == F.col("lead"), 0.0).otherwise(F.col("d")).alias("d")))
+        at = active.withColumns({"a": F.least("lead", "id"), "b": F.greatest("lead", "id")})
+        near.append(at.join(done.select("a", "b", ((F.col("uni") - F.col("inter")) / F.col("uni")).alias("d")), ["a", "b"], "left").select("key", "id", "lead", F.when(F.col("id") == F.col("lead"), 0.0).otherwise(F.col("d")).alias("d")))
         labelled = bucket.drop("lead").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_ = labelled.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key")
         labelled = common.persist(labelled.join(open_, "key", "left_semi"), "nd-open")
@@ -217,9 +222,65 @@ def _links(docs: DataFrame, bucket: DataFrame) -> DataFrame:
     return common.persist(links.select("a", "b").distinct(), "nd-links")
 
 
+def _degrees(docs: DataFrame, comp: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, count) of the links of each id among all members of its component (id, comp).
+
+    Members in order of size form blocks of at most BLOCK shingles (or one longer set), and every two blocks whose
+    sizes allow a link are compared as matrices. Two members alone are linked, as the component comes from a link.
+    """
+    members = comp.groupBy("comp").agg(F.count("*").alias("n"))
+    sized = common.persist(comp.join(members, "comp"), "nd-members")
+    pair = sized.where("n = 2").select("id", F.lit(1).cast("bigint").alias("count"))
+    w = W.partitionBy("comp").orderBy("n_shingles", "id").rowsBetween(W.unboundedPreceding, 0)
+    # a member weighs at least BLOCK / 1024, so a block has at most about 1024 members
+    at = sized.where("n > 2").join(sizes, "id").withColumn("block", F.floor((F.sum(F.greatest("n_shingles", F.lit(BLOCK // 1024))).over(w) - 1) / BLOCK))
+    at = common.persist(at.select("id", "comp", "block", "n_shingles"), "nd-blocks")
+    span = at.groupBy("comp", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    x, y = span.select("comp", F.col("block").alias("i"), "hi"), span.select("comp", F.col("block").alias("j"), "lo")
+    both = x.join(y, "comp").where(f"i <= j and hi * {DEN} >= lo * {NUM}").select("comp", "i", "j")
+    sides = both.select("comp", "i", "j", F.explode(F.expr("if(i = j, array(i), array(i, j))")).alias("block"))
+    sets = _sets(docs.join(at.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).withColumn("n_shingles", (F.length("set") / 8).cast("bigint"))
+    rows = at.join(sets, ["id", "n_shingles"]).join(sides, ["comp", "block"]).select("comp", "i", "j", "block", "id", "n_shingles", "set")
+
+    def run(t):
+        # rows that repeat a doc_id come once
+        _, pick = np.unique(np.stack([t.column("id").to_numpy(), t.column("n_shingles").to_numpy()]), axis=1, return_index=True)
+        t = t.take(pick)
+        block, ids = t.column("block").to_numpy(), t.column("id").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        first = block == t.column("i")[0].as_py()
+        one = t.column("i")[0] == t.column("j")[0]
+        left = np.flatnonzero(first)
+        right = left if one else np.flatnonzero(~first)
+        size = np.array([len(x) for x in sets], np.int64)
+        _, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # shingles of a single member add to no intersection
+        keep = seen > 1
+        place = np.where(keep, np.cumsum(keep) - 1, -1)[col]
+        row = np.repeat(np.arange(len(sets)), size)
+        row, place = row[place >= 0], place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        inter = np.zeros((len(left), len(right)), np.int64)
+        for lo in range(0, total := int(keep.sum()), COLUMNS):
+            a, b = np.searchsorted(place, [lo, lo + COLUMNS])
+            m = np.zeros((len(sets), min(COLUMNS, total - lo)), np.float32)
+            m[row[a:b], place[a:b] - lo] = 1
+            inter += (m[left] @ m[right].T).astype(np.int64)
+        linked = (inter * DEN >= (size[left][:, None] + size[right][None, :] - inter) * NUM) & (ids[left][:, None] != ids[right][None, :])
+        if one:
+            out, n = ids[left], linked.sum(1)
+        else:
+            out, n = np.concatenate([ids[left], ids[right]]), np.concatenate([linked.sum(1), linked.sum(0)])
+        return pa.table({"id": pa.array(out, pa.int64()), "count": pa.array(n, pa.int64())})
+
+    many = rows.groupBy("comp", "i", "j").applyInArrow(run, "id bigint, count bigint")
+    return common.persist(pair.unionByName(many.groupBy("id").agg(F.sum("count").alias("count"))), "nd-degree")
+
+
 def keep_documents(df: DataFrame) -> DataFrame:
     """The rows of `df` (all columns) of each component's smallest doc_id; of rows repeating that id, all."""
-    gone = dedup(df).where(~F.col("kept")).select("doc_id").distinct()
+    gone = dedup(df, count=False).where(~F.col("kept")).select("doc_id").distinct()
     return df.join(gone, "doc_id", "left_anti")
 
 
