@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftline.llm import neardup
+from weftline.operators import fusion
 from weftline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +52,13 @@ def test_neardup_counts_every_link(spark, monkeypatch):
     out = {x["doc_id"]: x["links"] for x in neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert out == {i: exp[reps[s]] for i, s in sets.items()}
     assert out[0] == 39
+
+
+def test_nearest_takes_every_query(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "BLOCK", 2, raising=False)
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [0.0, 0.0]), (5, [1.0, 1.0])], "id int, embedding array<float>")
+    q = spark.createDataFrame([("x", [2.0, 0.0]), ("y", [0.0, 1.0])], "query_id string, qv array<float>")
+    got = {}
+    for r in sorted(fusion.nearest(v, q, 3).collect(), key=lambda r: (-r["score"], r["id"])):
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
+    assert got == {"x": [(1, 1.0), (2, 1.0), (5, 0.707107)], "y": [(3, 1.0), (5, 0.707107), (1, 0.0)]}

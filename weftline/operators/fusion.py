@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Vectors of a block.
+BLOCK = 1024
 
 
 def cosine(a: str, b: str) -> Column:
@@ -14,9 +20,42 @@ def cosine(a: str, b: str) -> Column:
     return F.expr(f"case when {n} = 0 then 0.0 else {dot(a, b)} / {n} end")
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """(id, score) of the k vectors nearest to the one-row query (qv). Exact: a scan and a distributed top-k."""
-    return vectors.crossJoin(F.broadcast(query.limit(1))).select("id", cosine("embedding", "qv").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(keys, vectors): rows without a vector left out, the others in blocks of about BLOCK."""
+    x = rows.where(f"{vector} is not null").select(key, vector)
+    n = max(1, -(-x.count() // BLOCK))
+    x = x.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct(key, vector)).alias("_r"))
+    return x.select(F.col(f"_r.{key}").alias(f"{key}s"), F.col(f"_r.{vector}").alias(f"{vector}s"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): for every query (query_id, qv) the k vectors (id, embedding) nearest to it.
+
+    Exact: every block of queries is multiplied with every block of vectors, and of each product only the k
+    best of a query go on. Scores are equal if they agree to 12 digits; ties follow id; a zero norm scores 0.
+    """
+    query_id, id_ = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
+
+    def run(batches):
+        def unit(x):
+            m = np.array(x, np.float64)
+            n = np.sqrt((m * m).sum(1, keepdims=True))
+            return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, vs, qids, qs = (b.column(c)[r].as_py() for c in range(4))
+                ids, score = np.array(ids), np.round(unit(qs) @ unit(vs).T, 12)
+                for q, row in zip(qids, score):
+                    # all that tie with the k-th stay until ids decide
+                    some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    top = some[np.lexsort((ids[some], -row[some]))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(top), to_arrow_type(query_id)), pa.array(ids[top], to_arrow_type(id_)), pa.array(row[top])], ["query_id", "id", "score"])
+
+    pairs = _blocks(vectors, "id", "embedding").crossJoin(_blocks(queries, "query_id", "qv"))
+    best = pairs.mapInArrow(run, f"query_id {query_id.simpleString()}, id {id_.simpleString()}, score double")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
 
 
 def hamming(a: str, b: str) -> Column:

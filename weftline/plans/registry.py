@@ -117,18 +117,23 @@ def search_overfetch_cut(spark, d):
     return bm25.execute(bm25.field_terms(_docs(spark, d)), f"{WORDS} path:src7/", 3, FIELDS).select("doc_id", "file", F.round("score", 4).alias("score"))
 
 
-def _dense(spark, d, k):
+def _dense(spark, d, k, queries="id = 0"):
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return fusion.nearest(v, v.where("id = 0").select(F.col("embedding").alias("qv")), k)
+    return fusion.nearest(v, v.where(queries).select(F.col("id").alias("query_id"), F.col("embedding").alias("qv")), k)
 
 
 def cosine_topk(spark, d):
     return _dense(spark, d, 20).select("id", F.round("score", 6).alias("score"))
 
 
+def all_cosine_topk(spark, d):
+    """The 20 nearest of every row whose id is divisible by 50, among all rows."""
+    return _dense(spark, d, 20, "id % 50 = 0").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 def _lists(spark, d):
     b = _search(spark, d, _one(spark, WORDS), 50).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
-    return materialize(_dense(spark, d, 50), "dense"), materialize(b, "bm25")
+    return materialize(_dense(spark, d, 50).select("id", "score"), "dense"), materialize(b, "bm25")
 
 
 def rrf_fusion(spark, d):
@@ -341,7 +346,7 @@ def duplication_scores(spark, d):
     return s.select("p_partkey", F.round(A.name_similarity(F.col("p_name"), F.lit("small rink")), 6).alias("score")).where("score > 0.3")
 
 
-QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, callers, callees, resolve_callee, entry_points, dead_symbols, potentially_live, reachability, all_callers, all_callees, all_resolve_callee, all_dead_symbols, all_potentially_live, all_reachability, pagerank, import_resolution, file_imports_top5, coverage_correlate, llvm_cov_lines, tarpaulin_lines, churn_files, churn_hotspots, naming_conflicts, duplication_scores)}
+QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, all_cosine_topk, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, callers, callees, resolve_callee, entry_points, dead_symbols, potentially_live, reachability, all_callers, all_callees, all_resolve_callee, all_dead_symbols, all_potentially_live, all_reachability, pagerank, import_resolution, file_imports_top5, coverage_correlate, llvm_cov_lines, tarpaulin_lines, churn_files, churn_hotspots, naming_conflicts, duplication_scores)}
 
 _Q1 = f"SELECT 0 AS query_id, '{WORDS}' AS text"
 _LISTS = f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), qv AS (SELECT e AS q FROM v WHERE id = 0),
@@ -365,6 +370,7 @@ ORACLE_SQL = {
     "query_filters": _bm(_Q1, "SELECT doc_id, file, round(score, 4) AS score FROM r WHERE rank <= 50 AND file LIKE '%.en' AND NOT contains(file, 'src1') ORDER BY rank LIMIT 10"),
     "search_overfetch_cut": _bm(_Q1, "SELECT doc_id, file, round(score, 4) AS score FROM r WHERE rank <= 15 AND contains(file, 'src7/') ORDER BY rank LIMIT 3"),
     "cosine_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) SELECT id, round(list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)), 6) AS score FROM v ORDER BY list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)) DESC, id LIMIT 20",
+    "all_cosine_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 12) AS score FROM v JOIN v AS q ON q.id % 50 = 0) SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20",
     "rrf_fusion": _bm(_Q1, f", {_LISTS} SELECT id, round(rrf, 8) AS score, found_by FROM fu ORDER BY rrf DESC, id LIMIT 10"),
     "weighted_fusion": _bm(_Q1, f", {_LISTS} SELECT id, round(wt, 6) AS score, found_by FROM fu ORDER BY wt DESC, id LIMIT 10"),
     "found_by_counts": _bm(_Q1, f", {_LISTS} SELECT found_by, count(*) AS n FROM fu GROUP BY 1"),
