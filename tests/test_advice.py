@@ -62,3 +62,9 @@ def test_nearest_takes_every_query(spark, monkeypatch):
     for r in sorted(fusion.nearest(v, q, 3).collect(), key=lambda r: (-r["score"], r["id"])):
         got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
     assert got == {"x": [(1, 1.0), (2, 1.0), (5, 0.707107)], "y": [(3, 1.0), (5, 0.707107), (1, 0.0)]}
+
+
+def test_pagerank_over_whole_tables(spark):
+    ids = {r["id"] for r in registry.QUERIES["trade_pagerank"](spark, DATA).collect()}
+    for kind, table, key in (("c", "customer", "c_custkey"), ("s", "supplier", "s_suppkey")):
+        assert {f"{kind}{r[0]}" for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()} <= ids

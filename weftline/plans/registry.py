@@ -290,6 +290,16 @@ def pagerank(spark, d):
     return graph.pagerank(nodes, edges, max_iter=20, tol=0).select("id", F.round("score", 8).alias("score"))
 
 
+def trade_pagerank(spark, d):
+    """Ranks customers, suppliers and nations: a customer points to the supplier of each line ordered, a supplier to its nation, a nation to its customers."""
+    c, s, n = _t(spark, d, "customer"), _t(spark, d, "supplier"), _t(spark, d, "nation")
+    node = lambda kind, key: F.concat(F.lit(kind), key)
+    nodes = c.select(node("c", "c_custkey").alias("id")).unionByName(s.select(node("s", "s_suppkey").alias("id"))).unionByName(n.select(node("n", "n_nationkey").alias("id")))
+    bought = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(node("c", "o_custkey").alias("src"), node("s", "l_suppkey").alias("dst"))
+    edges = bought.unionByName(s.select(node("s", "s_suppkey").alias("src"), node("n", "s_nationkey").alias("dst"))).unionByName(c.select(node("n", "c_nationkey").alias("src"), node("c", "c_custkey").alias("dst")))
+    return graph.pagerank(nodes, edges, max_iter=20, tol=0).select("id", F.round("score", 10).alias("score"))
+
+
 def import_resolution(spark, d):
     """First node (by name) whose name is part of each import path; nodes are the vocabulary of part names."""
     p = _t(spark, d, "part").select("p_name").distinct()
@@ -346,7 +356,7 @@ def duplication_scores(spark, d):
     return s.select("p_partkey", F.round(A.name_similarity(F.col("p_name"), F.lit("small rink")), 6).alias("score")).where("score > 0.3")
 
 
-QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, all_cosine_topk, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, callers, callees, resolve_callee, entry_points, dead_symbols, potentially_live, reachability, all_callers, all_callees, all_resolve_callee, all_dead_symbols, all_potentially_live, all_reachability, pagerank, import_resolution, file_imports_top5, coverage_correlate, llvm_cov_lines, tarpaulin_lines, churn_files, churn_hotspots, naming_conflicts, duplication_scores)}
+QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, all_cosine_topk, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, callers, callees, resolve_callee, entry_points, dead_symbols, potentially_live, reachability, all_callers, all_callees, all_resolve_callee, all_dead_symbols, all_potentially_live, all_reachability, pagerank, trade_pagerank, import_resolution, file_imports_top5, coverage_correlate, llvm_cov_lines, tarpaulin_lines, churn_files, churn_hotspots, naming_conflicts, duplication_scores)}
 
 _Q1 = f"SELECT 0 AS query_id, '{WORDS}' AS text"
 _LISTS = f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), qv AS (SELECT e AS q FROM v WHERE id = 0),
@@ -402,6 +412,12 @@ deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), c AS (SELECT count(*) AS
 pr AS (SELECT id, 1.0::DOUBLE / n AS s, 0 AS i FROM no, c UNION ALL
  SELECT x.id, (0.15 / n + 0.85 * coalesce(sum(pr.s / deg.d), 0))::DOUBLE, max(x.i) + 1 FROM (SELECT DISTINCT no.id, pr.i FROM no, pr WHERE pr.i < 20) x CROSS JOIN c LEFT JOIN e ON e.dst = x.id LEFT JOIN deg ON deg.src = e.src LEFT JOIN pr ON pr.id = e.src GROUP BY x.id, n)
 SELECT id, round(s, 8) AS score FROM pr WHERE i = 20""",
+    "trade_pagerank": """WITH RECURSIVE no AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || n_nationkey FROM nation),
+e AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM no),
+pr AS (SELECT id, 1.0::DOUBLE / n AS s, 0 AS i FROM no, c UNION ALL
+ SELECT no.id, (0.15 / n + 0.85 * coalesce(x.g, 0))::DOUBLE, k.i + 1 FROM no CROSS JOIN c CROSS JOIN (SELECT max(i) AS i FROM pr) k LEFT JOIN (SELECT e.dst, sum(pr.s / deg.d) AS g FROM e JOIN deg ON deg.src = e.src JOIN pr ON pr.id = e.src GROUP BY e.dst) x ON x.dst = no.id WHERE k.i < 20)
+SELECT id, round(s, 10) AS score FROM pr WHERE i = 20""",
     "import_resolution": "WITH p AS (SELECT DISTINCT p_name FROM part), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS node FROM p) SELECT p_name, min(node) AS node FROM p JOIN w ON contains(p_name, node) GROUP BY p_name",
     "file_imports_top5": "SELECT l_orderkey, l_partkey, row_number() OVER w AS position, greatest(count(*) OVER (PARTITION BY l_orderkey) - 5, 0) AS more FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) QUALIFY row_number() OVER w <= 5",
     "coverage_correlate": "WITH l AS (SELECT user_id AS file, day(ts) AS line, max(CAST(event_type <> 'error' AS INT)) AS c FROM events GROUP BY 1, 2) SELECT o_orderkey AS symbol, count(*) AS lines_total, CAST(sum(c) AS BIGINT) AS lines_covered, round(sum(c) / count(*), 6) AS coverage FROM orders JOIN l ON o_custkey = file AND line BETWEEN o_orderkey % 30 + 1 AND o_orderkey % 30 + 6 GROUP BY o_orderkey",
