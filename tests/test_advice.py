@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftline.llm import neardup
+from weftline.llm import neardup, pii
 from weftline.operators import fusion
 from weftline.plans import registry
 
@@ -68,3 +68,10 @@ def test_pagerank_over_whole_tables(spark):
     ids = {r["id"] for r in registry.QUERIES["trade_pagerank"](spark, DATA).collect()}
     for kind, table, key in (("c", "customer", "c_custkey"), ("s", "supplier", "s_suppkey")):
         assert {f"{kind}{r[0]}" for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()} <= ids
+
+
+def test_pii_spelled_out_address_in_capitals():
+    t = "WRITE TO JOHN [AT] EXAMPLE [DOT] COM SOON"
+    assert [t[a:b] for a, b, _ in pii.candidates(t)] == ["JOHN [AT] EXAMPLE [DOT] COM"]
+    held = [s[:2] for s in pii.candidates(t + " at")]
+    assert [s[:2] for s in pii.candidates(t)] == held

@@ -114,10 +114,15 @@ def _around(t: str, a: int, b: int) -> list[str]:
     return ["L" + kind(t[a - 1 : a]), "R" + kind(t[b : b + 1]), f"cue{cue}"]
 
 
+def _has_at(t: str) -> bool:
+    """Whether _AT can match, which ignores case."""
+    return "@" in t or "at" in t.lower()
+
+
 def candidates(t: str) -> list[tuple[int, int, tuple[int, ...]]]:
     """(start, end, feature slots) of the candidate segments of a text."""
     out = []
-    for m in _AT.finditer(t) if ("@" in t or "at" in t) else ():
+    for m in _AT.finditer(t) if _has_at(t) else ():
         left = _NAME_LEFT.search(t, max(0, m.start() - 64), m.start())
         right = _HOST_RIGHT.match(t, m.end())
         if not left or not right:
@@ -238,7 +243,7 @@ class Model:
 
     def spans(self, t: str, base: list[tuple[int, int, int]], add_at: float = ADD_AT) -> list[tuple[int, int, int]]:
         """Base spans and those that the CRF adds."""
-        if not _DIGIT.search(t) and "@" not in t and "at" not in t:
+        if not _DIGIT.search(t) and not _has_at(t):
             return base
         out, taken = list(base), [(a, b) for a, _, b in base]
         for cl in _clusters(candidates(t)):
