@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import neardup, pii
+from weftline.llm import common, licenses, neardup, pii
 from weftline.operators import fusion
 from weftline.plans import registry
 
@@ -75,3 +77,11 @@ def test_pii_spelled_out_address_in_capitals():
     assert [t[a:b] for a, b, _ in pii.candidates(t)] == ["JOHN [AT] EXAMPLE [DOT] COM"]
     held = [s[:2] for s in pii.candidates(t + " at")]
     assert [s[:2] for s in pii.candidates(t)] == held
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_licenses_find_every_adjacent_repeat(n):
+    index = licenses.Index(licenses.TEMPLATES)
+    chunk = next(common.chunks(pa.array(["\n".join(["Released under the MIT License"] * n)], pa.large_string())))
+    got = licenses.scan_tokens(licenses._tokens(chunk)[0], index, licenses.MIN_COVERAGE)
+    assert [(a, b) for _, _, a, b in got] == [(5 * k, 5 * k + 5) for k in range(n)]

@@ -98,11 +98,12 @@ class Index:
 def align(text: np.ndarray, tmpl: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Best local alignment of a template within the band around text position = shift + template position.
 
-    Equal tokens score 2, others and gaps -1. Returns (matched tokens, start, end) in the text.
+    Equal tokens score 2, others and gaps -1; of equal scores the one that ends nearest to the diagonal of `shift`,
+    so that adjacent repeats are each found. Returns (matched tokens, start, end) in the text.
     """
     width = 2 * band + 1
     prev = [(0, 0, 0)] * width  # score, matches, start
-    best = (0, 0, 0, 0)
+    best, off = (0, 0, 0, 0), width
     n = len(text)
     for i, tok in enumerate(tmpl.tolist()):
         cur = []
@@ -122,8 +123,8 @@ def align(text: np.ndarray, tmpl: np.ndarray, shift: int, band: int = BAND) -> t
             if c[0] <= 0:
                 c = (0, 0, j + 1)
             cur.append(c)
-            if c[0] > best[0]:
-                best = (c[0], c[1], c[2], j + 1)
+            if c[0] > best[0] or (c[0] == best[0] > 0 and abs(d - band) < off):
+                best, off = (c[0], c[1], c[2], j + 1), abs(d - band)
         prev = cur
     return best[1:]
 
