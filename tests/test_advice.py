@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import common, licenses, neardup, pii
-from weftline.operators import fusion
+from weftline.operators import context, fusion
 from weftline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -85,3 +85,10 @@ def test_licenses_find_every_adjacent_repeat(n):
     chunk = next(common.chunks(pa.array(["\n".join(["Released under the MIT License"] * n)], pa.large_string())))
     got = licenses.scan_tokens(licenses._tokens(chunk)[0], index, licenses.MIN_COVERAGE)
     assert [(a, b) for _, _, a, b in got] == [(5 * k, 5 * k + 5) for k in range(n)]
+
+
+def test_budget_fold_walks_all_candidates(spark):
+    big = spark.range(3000).selectExpr("concat('b', id) symbol", "90L tokens", "1.0 - id / 10000 score")
+    small = spark.createDataFrame([("s1", 10, 0.01), ("s2", 10, 0.005), ("huge", 101, 2.0)], "symbol string, tokens bigint, score double")
+    got = [r["symbol"] for r in context.within_budget(big.unionByName(small), 100).orderBy(F.desc("score")).collect()]
+    assert got == ["b0", "s1"]

@@ -1,8 +1,9 @@
-"""Token-budgeted context assembly over a bounded candidate list."""
+"""Token-budgeted context assembly over any number of candidates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,12 +14,14 @@ def blend(candidates: DataFrame, ranks: DataFrame) -> DataFrame:
     return x.groupBy("symbol").agg(F.max_by(F.struct(*rest), F.struct("score", "reason")).alias("_r")).select("symbol", "_r.*")
 
 
-def within_budget(ranked: DataFrame, max_tokens: int, most: int = 1000) -> DataFrame:
+def within_budget(ranked: DataFrame, max_tokens: int) -> DataFrame:
     """(symbol, tokens, score, primary): taken in order of score while they fit; one that doesn't is skipped and later ones may.
 
-    The fold is sequential by nature, so it works on the best `most` candidates of the query.
+    The fold is sequential by nature. What is left only shrinks, so of the candidates of n tokens none after the first
+    max_tokens / n can be taken; the others alone go into the fold, and every candidate is considered.
     """
-    top = ranked.orderBy(F.desc("score"), "symbol").limit(most)
+    w = W.partitionBy("tokens").orderBy(F.desc("score"), "symbol")
+    top = ranked.where(F.col("tokens") <= max_tokens).withColumn("_n", F.row_number().over(w)).where((F.col("tokens") <= 0) | (F.col("_n") * F.col("tokens") <= max_tokens))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "symbol", F.col("tokens").cast("bigint").alias("tokens"))))
     t = "struct<sum:bigint,kept:array<struct<o:double,symbol:string,tokens:bigint>>>"
     fold = F.expr(f"aggregate(r, cast(struct(0L, array()) as {t}), (a, v) -> if(a.sum < {max_tokens} and a.sum + v.tokens <= {max_tokens}, cast(struct(a.sum + v.tokens, concat(a.kept, array(v))) as {t}), a), a -> a.kept)")
