@@ -1,12 +1,7 @@
 """Cases of the review: each failed before its finding was settled."""
 
-import random
-
-import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import common, licenses, neardup, pii
 from weftline.operators import context, fusion
 from weftline.plans import registry
 
@@ -22,40 +17,6 @@ def test_calls_leave_no_caller_and_no_line_out(spark):
     assert x.where("cast(substring(caller, 4) as bigint) % 50 <> 0").count() > 0.9 * x.count() > 0
 
 
-def drifting(salt):
-    """Texts of 40 words, each two words on from the one before: only neighbours are linked (36 of 40 shingles)."""
-    w = [f"s{salt}x{i}" for i in range(46)]
-    return [" ".join(w[k : k + 40]) for k in (0, 2, 4, 6)]
-
-
-def test_neardup_links_border_members_of_two_components_a_bucket(spark):
-    # 1~2, 2~4, 4~3; every bucket that 2 and 4 share holds all four, is led by 1 and then by 3, and ends with {1, 2} and {3, 4}
-    a, b, c, d = drifting(424)
-    rows = [(1, a), (2, b), (3, d), (4, c)]
-    out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert out == {1: (1, True), 2: (1, False), 3: (1, False), 4: (1, False)}
-
-
-def test_neardup_counts_every_link(spark, monkeypatch):
-    # near copies that are all linked, and a long drift whose ends aren't; small blocks, so that pairs cross them
-    monkeypatch.setattr(neardup, "BLOCK", 2048, raising=False)
-    r = random.Random(4)
-    base = [f"b{i}" for i in range(200)]
-    texts = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :]) for k in r.sample(range(5, 195), 40)]
-    w = [f"d{i}" for i in range(140)]
-    texts += [" ".join(w[k : k + 60]) for k in range(0, 60, 2)] + [" ".join(["solo", *w[::-1][:30]]), "alone", "p q r s t u v w x y z", "p q r s t u v w x y z"]
-    rows = list(enumerate(texts))
-    r.shuffle(rows)
-    sets = {i: frozenset(tuple(t.split()[k : k + 3]) for k in range(max(1, len(t.split()) - 2))) for i, t in rows}
-    reps = {}
-    for i, s in sorted(sets.items()):
-        reps.setdefault(s, i)
-    exp = {i: sum(i != j and len(s & sets[j]) * 100 >= 85 * len(s | sets[j]) for j in reps.values()) for s, i in reps.items()}
-    out = {x["doc_id"]: x["links"] for x in neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert out == {i: exp[reps[s]] for i, s in sets.items()}
-    assert out[0] == 39
-
-
 def test_nearest_takes_every_query(spark, monkeypatch):
     monkeypatch.setattr(fusion, "BLOCK", 2, raising=False)
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [0.0, 0.0]), (5, [1.0, 1.0])], "id int, embedding array<float>")
@@ -72,21 +33,6 @@ def test_pagerank_over_whole_tables(spark):
         assert {f"{kind}{r[0]}" for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()} <= ids
 
 
-def test_pii_spelled_out_address_in_capitals():
-    t = "WRITE TO JOHN [AT] EXAMPLE [DOT] COM SOON"
-    assert [t[a:b] for a, b, _ in pii.candidates(t)] == ["JOHN [AT] EXAMPLE [DOT] COM"]
-    held = [s[:2] for s in pii.candidates(t + " at")]
-    assert [s[:2] for s in pii.candidates(t)] == held
-
-
-@pytest.mark.parametrize("n", [1, 2, 3, 5])
-def test_licenses_find_every_adjacent_repeat(n):
-    index = licenses.Index(licenses.TEMPLATES)
-    chunk = next(common.chunks(pa.array(["\n".join(["Released under the MIT License"] * n)], pa.large_string())))
-    got = licenses.scan_tokens(licenses._tokens(chunk)[0], index, licenses.MIN_COVERAGE)
-    assert [(a, b) for _, _, a, b in got] == [(5 * k, 5 * k + 5) for k in range(n)]
-
-
 def test_budget_fold_walks_all_candidates(spark):
     big = spark.range(3000).selectExpr("concat('b', id) symbol", "90L tokens", "1.0 - id / 10000 score")
     small = spark.createDataFrame([("s1", 10, 0.01), ("s2", 10, 0.005), ("huge", 101, 2.0)], "symbol string, tokens bigint, score double")
