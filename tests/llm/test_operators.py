@@ -338,9 +338,9 @@ def test_packing(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     own = packing.tokens(P.path("word_bpe_49k.json"))
-    for x in texts(80) + noise("ab's 'LL't\t\n  éÉŸßÀ’—1²_!€İı中ΣſÅ", 2000, 25):
+    special = ["hello <|endoftext|> world", "<|startoftext|>", "<|EndOfText|> a", "a<|endoftext|>b É", "<|endoftext|", "< |endoftext|>"]
+    for x in texts(80) + special + noise("ab's 'LL't\t\n  éÉŸßÀ’—1²_!€İı中ΣſÅ", 2000, 25):
         assert np.frombuffer(own.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
     out = packing.packed(docs).collect()
     by, seqs = defaultdict(dict), defaultdict(list)

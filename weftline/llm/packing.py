@@ -9,7 +9,7 @@ not with the corpus's. Pieces of full length take a sequence each.
 
 Tokenising keeps a cache of words: text whose characters all lie in a range where lower-casing and
 composition are one to one is split by the tokenizer's own pattern and each distinct word is given to
-the tokenizer once; any other text goes to it whole.
+the tokenizer once; any other text, and one that holds the literal of an added token, goes to it whole.
 
 Null texts count as empty: one piece, the end id alone. Repeated rows are packed one by one.
 """
@@ -42,7 +42,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        # the tokenizer looks for its added tokens in the text as it stands, so a text that holds one goes to it whole
+        self.added = re.compile("|".join(re.escape(x.content) for x in self.t.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
         self.cache: dict[str, bytes] = {}
         vocab = self.t.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
@@ -66,7 +67,7 @@ class Tokens:
 
     def all_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit bytes."""
-        words = [None if not SAFE.fullmatch(x) else SPLIT.findall(x.lower()) for x in texts]
+        words = [None if self.added.search(x) or not SAFE.fullmatch(x) else SPLIT.findall(x.lower()) for x in texts]
         cache = self.cache
         miss = {w for own in words if own for w in own if w not in cache}
         if len(cache) + len(miss) > self.CACHE:
