@@ -8,14 +8,16 @@ single longer text), which bounds the memory of a Python worker whatever the bat
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
@@ -46,22 +48,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset (tests) one below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def persist(df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage by a written table in the shared folder, which survives the loss of executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
+    path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables written by persist() that nothing reads any more (what was derived from them is written itself)."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -178,16 +179,29 @@ def ngram_hashes(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
 def sample_ids(labels: DataFrame, per_class: int, label: str) -> DataFrame:
     """At most `per_class` labelled doc_ids of each class, those of smallest hash: (doc_id, label).
 
-    The bound holds at every size, and both the selection and the driver's part of it are bounded by it.
+    The bound holds at every size, and both the selection and the driver's part of it are bounded by it. A doc_id
+    that both classes hold counts as of class 0; repeated rows count once.
     """
     t = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     t = t.withColumn("_h", F.xxhash64(F.lit(7), "doc_id"))
-    parts = [t.where(F.col("label") == k).orderBy("_h", "doc_id").limit(per_class) for k in (0, 1)]
-    rows = parts[0].unionByName(parts[1]).select("doc_id", "label").collect()
-    return labels.sparkSession.createDataFrame(pa.Table.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "label": pa.array([r[1] for r in rows], pa.int32())}))
+    parts = [t.where(F.col("label") == k).distinct().orderBy("_h", "doc_id").limit(per_class) for k in (0, 1)]
+    best: dict[int, int] = {}
+    for r in parts[0].unionByName(parts[1]).select("doc_id", "label").collect():
+        best[r[0]] = min(r[1], best.get(r[0], 1))
+    return labels.sparkSession.createDataFrame(pa.Table.from_pydict({"doc_id": pa.array(best.keys(), pa.int64()), "label": pa.array(best.values(), pa.int32())}))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, per_class: int, label: str) -> DataFrame:
-    """(doc_id, text, label) of the bounded sample. The id list is at most 2 * per_class rows, so it may be broadcast."""
-    ids = sample_ids(labels, per_class, label).dropDuplicates(["doc_id"])
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    """(doc_id, text, label) of the bounded sample. The id list is at most 2 * per_class rows, so it may be broadcast.
+
+    Of rows that share a doc_id the smallest text counts.
+    """
+    ids = sample_ids(labels, per_class, label)
+    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
+def within_bytes(sample: DataFrame, most: int, seed: int) -> DataFrame:
+    """The rows (doc_id, text, ...) of a sample of bounded row count, in order of id hash, whose whole texts make up at most `most` bytes."""
+    w = W.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    fit = sample.select("doc_id", F.octet_length("text").cast("bigint").alias("_n")).withColumn("_n", F.sum("_n").over(w)).where(F.col("_n") <= most)
+    return sample.join(F.broadcast(fit.select("doc_id")), "doc_id")
