@@ -311,7 +311,7 @@ def test_licenses(spark, odd, empty):
 
 def test_fingerprints(spark, docs, odd, empty):
     v = fingerprint.vectors(["a b\nc d", "c d\na b", "a b", "c d", ""])
-    assert (v[0] == v[1]).all() and ((v[2] + v[3]).astype(np.uint16) == v[0]).all() and not v[4].any() and (v[0] != v[2]).any()
+    assert (v[0] == v[1]).all() and ((v[2] + v[3]).astype(np.uint32) == v[0]).all() and not v[4].any() and (v[0] != v[2]).any()
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), reverse=True)
     out = {r["doc_id"]: r for r in fingerprint.compare_next(docs, 5).collect()}
     assert len(out) == len(rows)
@@ -320,12 +320,54 @@ def test_fingerprints(spark, docs, odd, empty):
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         assert out[k]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and out[k]["n_chars"] == len(t)
         fe, ft, fn = fingerprint.vectors([e, t, n])
-        assert out[k]["edited_fingerprint"] == fingerprint.hexed(fe) and out[k]["fingerprint"] == fingerprint.hexed(ft)
+        assert out[k]["edited_fingerprint"] == fingerprint.printed(fe) and out[k]["fingerprint"] == fingerprint.printed(ft)
     assert np.mean([r["near_edited"] for r in out.values()]) > 0.4 > 0.2 > np.mean([r["near_next"] for r in out.values()])
     assert fingerprint.compare_next(odd, 3).count() == len(ODD) + 2 and fingerprint.compare_next(empty, 3).count() == 0
     assert fingerprint.compare_next(odd.where("doc_id = 5"), 3).first()["near_next"] == 1.0
 
 
+def brute_fingerprint(t):
+    """Exact lanes and sketch of a text, paragraph by paragraph and word by word."""
+    lanes, grams = [0] * fingerprint.EXACT, Counter()
+    for line in t.split("\n"):
+        w = WORD.findall(line)
+        if w:
+            d = hashlib.blake2b(line.strip(" \t\n\r\v\f").encode()).digest()
+            lanes = [(x + int.from_bytes(d[4 * k : 4 * k + 4], "little")) % 2**32 for k, x in enumerate(lanes)]
+            grams.update(zip([None, *w], w))
+    return lanes, grams
+
+
+def test_fingerprints_equal_brute_force():
+    all_ = texts(80) + [x or "" for x in ODD] + noise("ab \n", 200, 60)
+    v = fingerprint.vectors(all_)
+    grams = []
+    for t, x in zip(all_, v):
+        lanes, g = brute_fingerprint(t)
+        grams.append(g)
+        assert x[: fingerprint.EXACT].tolist() == lanes and (np.abs(x[fingerprint.EXACT :].astype(np.int32)).sum() <= sum(g.values()))
+    # likeness estimates the cosine of the 2-gram counts
+    near = []
+    for i in range(80):
+        t = all_[i]
+        e = fingerprint.edited(t, all_[(i + 1) % 80])
+        g = brute_fingerprint(e)[1]
+        true = sum(n * g[k] for k, n in grams[i].items()) / max(1e-9, (sum(n * n for n in grams[i].values()) * sum(n * n for n in g.values())) ** 0.5)
+        near.append(abs(float(fingerprint.likeness(v[i : i + 1], fingerprint.vectors([e]))[0]) - true))
+    assert np.mean(near) < 0.05 and max(near) < 0.3
+
+
+def test_fingerprints_count_without_wrapping():
+    v = fingerprint.vectors(["x " * 30_000, "x " * 40_000, "x " * 32_000])
+    assert fingerprint.likeness(v[:1], v[1:2])[0] == pytest.approx(1) and fingerprint.likeness(v[:1], v[2:])[0] == pytest.approx(1)
+
+
+def test_fingerprints_take_insertions_and_deletions():
+    p = lambda t: fingerprint.printed(fingerprint.vectors([t])[0])
+    assert fingerprint.insert(p("a b\nc"), ["d e", "c"]) == p("c\nd e\na b\nc")
+    assert fingerprint.delete(p("a b\nc\nc"), ["c"]) == p("c\na b") and fingerprint.delete(p("x"), ["x"]) == p("")
+
+
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]

@@ -1,11 +1,12 @@
 """Document fingerprints (operator 8): a homomorphic multiset hash of paragraphs.
 
-A fingerprint is a vector modulo 2**16, the sum of one wide vector per paragraph (a line with a word).
-Order does not matter, and inserting or deleting a paragraph adds or subtracts its vector. A paragraph's
-vector has two parts: `EXACT` lanes expanded from its 64-bit hash, which make unequal multisets differ,
-and `SKETCH` lanes that count its word 2-grams with signs (an AMS count sketch), whose inner products
-estimate how much two texts share. Likeness is the cosine of the sketch lanes, cut to 0..1; equal
-fingerprints have likeness 1.
+A fingerprint is a vector modulo 2**32, the sum of one wide vector per paragraph (a line with a word, from
+its first word to its last). Order does not matter, and inserting or deleting a paragraph adds or subtracts
+its vector (`insert`, `delete`). A paragraph's vector has two parts: `EXACT` lanes, its 512-bit BLAKE2b
+digest, which make unequal multisets differ, and `SKETCH` lanes that count its word 2-grams with signs (an
+AMS count sketch), whose inner products estimate how much two texts share. No count of a text can reach
+half the modulus, so likeness, the cosine of the sketch lanes cut to 0..1, is that of the true counts;
+equal fingerprints have likeness 1. Fingerprints are printed as base64 of little-endian lanes.
 
 The comparison partner, the next text in descending doc_id, is found by splitting the id range at
 sampled ids and sending the first row of each range also to the range before, so no task sees more than
@@ -13,11 +14,13 @@ its range and texts move once.
 
 Defined cases: null texts count as empty, an empty text has the zero vector; likeness with a zero vector
 is 1 for two zero vectors, else 0; rows with equal doc_id follow each other in order of their text, rows
-without doc_id come last; a single row is its own next.
+without doc_id come last; a single row is its own next; an empty table gives no rows; only doc_id and text
+are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
@@ -29,15 +32,14 @@ from pyspark.sql import functions as F
 from . import common
 from .common import U64
 
-EXACT, SKETCH = 32, 256
+EXACT, SKETCH = 16, 256
 MAX_RANGES = 20_000
 WIDTH = EXACT + SKETCH
-_LANE = common.mix(np.arange(1, EXACT + 1, dtype=np.uint64) * U64(0xA24BAED4963EE407))
 
 
 def vectors(texts: list[str]) -> np.ndarray:
-    """One uint16 vector of WIDTH lanes per text."""
-    out = np.zeros((len(texts), WIDTH), np.uint16)
+    """One uint32 vector of WIDTH lanes per text."""
+    out = np.zeros((len(texts), WIDTH), np.uint32)
     for c in common.chunks(pa.array(texts, pa.large_string())):
         out[c.lo : c.hi] = _chunk(c)
     return out
@@ -46,7 +48,7 @@ def vectors(texts: list[str]) -> np.ndarray:
 def _chunk(c: common.Chunk) -> np.ndarray:
     starts, ends, lim = common.words(c)
     m = len(c)
-    out = np.zeros((m, WIDTH), np.uint16)
+    out = np.zeros((m, WIDTH), np.uint32)
     if not len(starts):
         return out
     h = common.span_hashes(c.data, starts, ends)
@@ -61,25 +63,44 @@ def _chunk(c: common.Chunk) -> np.ndarray:
         lane = (g >> U64(56)).astype(np.int64) % SKETCH
         sign = np.where(g & U64(1), 1, -1)
         sk = np.bincount(text * SKETCH + lane, weights=sign, minlength=m * SKETCH).astype(np.int64).reshape(m, SKETCH)
-        out[:, EXACT:] = sk.astype(np.uint16)
-        # a paragraph's hash covers its words in order (white space between words doesn't count)
+        out[:, EXACT:] = sk.astype(np.uint32)
         at = np.flatnonzero(first)
-        pos = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
-        ph = common.mix(np.add.reduceat(common.mix(h + common.mix(pos.astype(np.uint64))), at) + np.diff(np.append(at, len(h))).astype(np.uint64))
-        lanes = common.mix(ph[:, None] + _LANE[None, :]).astype(np.uint16)
-        cum = np.concatenate([np.zeros((1, EXACT), np.uint16), np.cumsum(lanes, 0, dtype=np.uint16)])
+        raw, digest = c.data.tobytes(), hashlib.blake2b
+        last = np.append(at[1:], len(h)) - 1
+        lanes = np.frombuffer(b"".join([digest(raw[a:b]).digest() for a, b in zip(starts[at].tolist(), ends[last].tolist())]), "<u4").reshape(-1, EXACT)
+        cum = np.concatenate([np.zeros((1, EXACT), np.uint32), np.cumsum(lanes, 0, dtype=np.uint32)])
         edge = np.searchsorted(text[at], np.arange(m + 1))
         out[:, :EXACT] = cum[edge[1:]] - cum[edge[:-1]]
     return out
 
 
-def hexed(v: np.ndarray) -> str:
-    return v.astype("<u2").tobytes().hex()
+def printed(v: np.ndarray) -> str:
+    return base64.b64encode(v.astype("<u4").tobytes()).decode()
+
+
+def parsed(fingerprint: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(fingerprint), "<u4")
+
+
+def _shifted(fingerprint: str, paragraphs: list[str], sign: int) -> str:
+    with np.errstate(over="ignore"):
+        d = vectors(paragraphs).sum(0, dtype=np.uint32)
+        return printed(parsed(fingerprint) + d if sign > 0 else parsed(fingerprint) - d)
+
+
+def insert(fingerprint: str, paragraphs: list[str]) -> str:
+    """The fingerprint of a text with paragraphs added, wherever they stand."""
+    return _shifted(fingerprint, paragraphs, 1)
+
+
+def delete(fingerprint: str, paragraphs: list[str]) -> str:
+    """The fingerprint of a text with paragraphs taken away."""
+    return _shifted(fingerprint, paragraphs, -1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of the sketch lanes of two arrays of vectors (rows), within 0..1."""
-    x, y = a[:, EXACT:].astype(np.int16).astype(float), b[:, EXACT:].astype(np.int16).astype(float)
+    x, y = a[:, EXACT:].astype(np.int32).astype(float), b[:, EXACT:].astype(np.int32).astype(float)
     same = (a == b).all(1)
     n = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     return np.where(same, 1.0, np.clip((x * y).sum(1) / np.maximum(n, 1e-9), 0, 1))
@@ -100,7 +121,7 @@ def _compare(rows: list[tuple]) -> pa.RecordBatch:
     ev = vectors(e)
     own, nxt = v[:-1], v[1:]
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in e]), pa.array(map(hexed, own)), pa.array(map(hexed, ev)), pa.array(likeness(own, ev)), pa.array(likeness(own, nxt))],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in e]), pa.array(map(printed, own)), pa.array(map(printed, ev)), pa.array(likeness(own, ev)), pa.array(likeness(own, nxt))],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
 
