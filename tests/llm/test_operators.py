@@ -395,24 +395,54 @@ def test_pii_base_and_model(docs, odd, empty):
 
 
 def test_semi_markov_inference_is_exact():
-    """Posteriors and the best path of a cluster equal those over all subsets of disjoint segments."""
+    """Posteriors, expected pairs and the best path of a chain equal those over all subsets of disjoint segments."""
     r = np.random.default_rng(2)
     for _ in range(40):
         cl = sorted([(int(a), int(a + r.integers(1, 5)), ()) for a in r.integers(0, 8, 5)], key=lambda x: (x[1], x[0]))
-        s = r.normal(size=(5, 4))
-        z, best, marg = 0.0, (-1.0, None), np.zeros((5, 4))
+        s, pair = r.normal(size=(5, 4)), r.normal(size=(5, 4))
+        z, best, marg, uses = 0.0, (-1.0, None), np.zeros((5, 4)), np.zeros((5, 4))
         for pick in np.ndindex(*(5,) * 5):
             used = [(k, t - 1) for k, t in enumerate(pick) if t]
             if any(cl[a][0] < cl[b][1] and cl[b][0] < cl[a][1] for i, (a, _) in enumerate(used) for b, _ in used[:i]):
                 continue
-            v = sum(s[k, t] for k, t in used)
+            steps = list(zip([0, *(t + 1 for _, t in used)], [t for _, t in used]))
+            v = sum(s[k, t] for k, t in used) + sum(pair[x] for x in steps)
             z += np.exp(v)
             if v > best[0] or best[1] is None:
                 best = (v, sorted(used))
             for k, t in used:
                 marg[k, t] += np.exp(v)
-        assert np.allclose(pii._posteriors(cl, s), marg / z)
-        assert sorted(pii._viterbi(cl, s)) == best[1]
+            for x in steps:
+                uses[x] += np.exp(v)
+        p, u = pii._posteriors(cl, s, pair)
+        assert np.allclose(p, marg / z) and np.allclose(u, uses / z)
+        assert sorted(pii._viterbi(cl, s, pair)) == best[1]
+
+
+HAND = [
+    ("Reach me at jane.roe [at] example [dot] org any day.", ["jane.roe [at] example [dot] org"]),
+    ("fax (415) 555-2671 or ask", ["(415) 555-2671"]),
+    ("his number: 212-555-0187.", ["212-555-0187"]),
+    ("paid with 4111.1111.1111.1111 yesterday", ["4111.1111.1111.1111"]),
+    ("host 10[.]0[.]3[.]77 was down", ["10[.]0[.]3[.]77"]),
+    ("mail bob(at)firm.de, phone 030-555-1234", ["bob(at)firm.de", "030-555-1234"]),
+    ("released on 2021-03-14 as version 3.11.4", []),
+    ("order 4111 1111 1111 1112 of 1999", []),
+    ("we met at noon and dot the i", []),
+    ("page 12, lines 100-120, 3.5 percent of 20000", []),
+]
+
+
+def test_pii_on_cases_written_by_hand(spark, docs):
+    m = pii.train(docs)
+    for t, exp in HAND:
+        assert [t[a:b] for a, _, b in m.spans(t, pii.base_spans(t))] == exp, t
+
+
+def test_pii_training_reads_every_span_of_a_text():
+    t = " and ".join("user%d@host%d.org" % (i, i) for i in range(50))
+    assert sum("@" in w for w, _ in pii.windows(t, 1)) >= 50
+    assert all(w[a:b].startswith("user") for w, s in pii.windows(t, 1)[:50] for a, k, b in s if k == 0 and not w[a:b][0].isdigit())
 
 
 def test_packing(spark, docs, odd, empty):

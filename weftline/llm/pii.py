@@ -4,21 +4,28 @@ The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers
 linear scans. The CRF scores whole candidate segments: a segment is a run of digit groups (at most
 `MAX_GROUPS`) or an address around an `@` or a spelled-out at, its features look at the entire span
 (digits, groups and their lengths, separators, checksum, octets, brackets) and its surroundings, and
-everything outside of candidates scores 0. The dynamic program over segment ends therefore runs over clusters of
-overlapping candidates alone and is exact for the whole text. Viterbi chooses boundaries and types
-jointly; a span is added where its posterior is at least `ADD_AT` and it overlaps no base span.
-
-Training (`train`) maximises the conditional likelihood, by forward-backward over the same lattices, on a
-bounded sample of texts: their base spans are the labels, and seeded rewrites (spelled-out addresses,
-phone numbers without a plus, dotted cards and such) and look-alikes (dates, versions, failing
-checksums) are put into them.
-
-Null and empty texts have no spans. Positions count code points, ends are exclusive.
+everything outside of candidates scores 0. Neighbouring segments also score by the pair of their types: a
+chain links the segments of candidates that lie within `REACH` characters of each other, and begins anew
+beyond. The dynamic program over segment ends and types therefore runs over chains and is exact for the
+whole text. Viterbi chooses boundaries and types jointly; a span is added where its posterior is at least
+`ADD_AT` and it overlaps no base span.
+
+Training (`train`) maximises the conditional likelihood, by forward-backward over the same lattices, on
+windows of a bounded sample of texts which the base patterns label: windows around their spans, and windows into
+which seeded rewrites (spelled-out addresses, phone numbers without a plus, dotted cards and such) and
+look-alikes (dates, versions, failing checksums) are put. Windows are cut on the executors; at most
+`SAMPLE_WINDOWS` short ones reach the driver.
+
+Defined cases: null and empty texts have no spans; positions count code points, ends are exclusive; equal
+texts get equal spans, repeated rows a row each; of rows that share a doc_id the smallest text is in the
+sample; an empty table gives no rows and a model that adds nothing; only doc_id and text (redact: and
+n_chars) are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 
@@ -30,7 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_TEXTS, ADD_AT, MAX_GROUPS = 1000, 0.95, 8
+ADD_AT, MAX_GROUPS, REACH = 0.95, 8, 40
+#: Bounds of the training sample: texts, windows around or beside spans, and characters of a window.
+SAMPLE_TEXTS, SAMPLE_WINDOWS, WINDOW_CHARS = 1000, 8000, 400
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -177,16 +186,15 @@ def _number(t: str, a: int, b: int, digits: int, lens: list[int], more_left: boo
 # -- the model -----------------------------------------------------------------------------------
 
 
-def _clusters(cands):
-    """Groups of candidates that touch each other, each ordered by end."""
-    cands = sorted(cands, key=lambda c: (c[0], c[1]))
-    group, end = [], -1
-    for c in cands:
-        if group and c[0] >= end:
+def _chains(cands, reach: int = REACH):
+    """Groups of candidates, each within reach of those before it; each group ordered by end."""
+    group, end = [], 0
+    for c in sorted(cands, key=lambda c: (c[0], c[1])):
+        if group and c[0] >= end + reach:
             yield sorted(group, key=lambda x: (x[1], x[0]))
             group = []
+        end = max(end, c[1]) if group else c[1]
         group.append(c)
-        end = max(end, c[1]) if len(group) > 1 else c[1]
     if group:
         yield sorted(group, key=lambda x: (x[1], x[0]))
 
@@ -197,39 +205,53 @@ def _before(cl) -> list[int]:
     return np.searchsorted(ends, [c[0] for c in cl], "right").tolist()
 
 
-def _posteriors(cl, s: np.ndarray) -> np.ndarray:
-    """Marginal probability of each (segment, type) of a cluster; s: (n, types)."""
-    n = len(cl)
-    seg = np.logaddexp.reduce(s, 1).tolist()
+def _posteriors(cl, s: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each (segment, type) of a chain, and expected uses of each pair of types.
+
+    s: (n, types) scores; pair: (1 + types, types) scores of a type after another, row 0 after none. Forward weights
+    f[k][t] cover the first k candidates with t the type of the last segment taken (0: none), backward weights the others.
+    """
+    n, kinds = s.shape
     pre = _before(cl)
-    f = [0.0] * (n + 1)
+    f = np.full((n + 1, 1 + kinds), -np.inf)
+    f[0, 0] = 0.0
+    into = np.empty((n, 1 + kinds, kinds))
     for k in range(n):
-        f[k + 1] = float(np.logaddexp(f[k], f[pre[k]] + seg[k]))
-    g = [-np.inf] * (n + 1)  # log weight of completions, by candidates passed
+        into[k] = f[pre[k]][:, None] + pair + s[k]
+        f[k + 1] = f[k]
+        f[k + 1, 1:] = np.logaddexp(f[k, 1:], np.logaddexp.reduce(into[k], 0))
+    g = np.full((n + 1, 1 + kinds), -np.inf)
     g[n] = 0.0
     for k in range(n - 1, -1, -1):
-        g[k] = float(np.logaddexp(g[k], g[k + 1]))
-        g[pre[k]] = float(np.logaddexp(g[pre[k]], seg[k] + g[k + 1]))
-    z = f[n]
-    return np.exp(np.array([f[pre[k]] + g[k + 1] - z for k in range(n)])[:, None] + s)
+        g[k] = np.logaddexp(g[k], g[k + 1])
+        j = pre[k]
+        g[j] = np.logaddexp(g[j], np.logaddexp.reduce(pair + (s[k] + g[k + 1, 1:]), 1))
+    uses = np.exp(into + g[1:, None, 1:] - np.logaddexp.reduce(f[n]))
+    return uses.sum(1), uses.sum(0)
 
 
-def _viterbi(cl, s: np.ndarray) -> list[tuple[int, int]]:
-    """Best (candidate, type) choices of a cluster."""
-    n, pre = len(cl), _before(cl)
-    kind = s.argmax(1)
-    best, take = [0.0] * (n + 1), [False] * (n + 1)
+def _viterbi(cl, s: np.ndarray, pair: np.ndarray) -> list[tuple[int, int]]:
+    """Best (candidate, type) choices of a chain."""
+    n, kinds = s.shape
+    pre = _before(cl)
+    best = np.full((n + 1, 1 + kinds), -np.inf)
+    best[0, 0] = 0.0
+    back: list[list[int | None]] = [[None] * (1 + kinds)]  # type before where candidate k - 1 is taken, None where skipped
     for k in range(n):
-        v = best[pre[k]] + float(s[k, kind[k]])
-        take[k + 1] = v > best[k]
-        best[k + 1] = max(v, best[k])
-    out, k = [], n
+        v = best[pre[k]][:, None] + pair + s[k]
+        frm = v.argmax(0)
+        v = v[frm, np.arange(kinds)]
+        best[k + 1] = best[k]
+        took = v > best[k, 1:]
+        best[k + 1, 1:][took] = v[took]
+        back.append([None, *(int(x) if y else None for x, y in zip(frm, took))])
+    out, k, t = [], n, int(best[n].argmax())
     while k:
-        if take[k]:
-            out.append((k - 1, int(kind[k - 1])))
-            k = pre[k - 1]
-        else:
+        if back[k][t] is None:
             k -= 1
+        else:
+            out.append((k - 1, t - 1))
+            k, t = pre[k - 1], back[k][t]
     return out
 
 
@@ -238,24 +260,28 @@ def _scores(cl, w: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, w: np.ndarray):
+    def __init__(self, w: np.ndarray, pair: np.ndarray | None = None):
         self.w = w  # (DIM, types)
+        self.pair = np.zeros((1 + w.shape[1], w.shape[1])) if pair is None else pair
 
     def spans(self, t: str, base: list[tuple[int, int, int]], add_at: float = ADD_AT) -> list[tuple[int, int, int]]:
         """Base spans and those that the CRF adds."""
         if not _DIGIT.search(t) and not _has_at(t):
             return base
-        out, taken = list(base), [(a, b) for a, _, b in base]
-        for cl in _clusters(candidates(t)):
-            if all(any(a < c[1] and c[0] < b for a, b in taken) for c in cl):
+        out, taken, most = list(base), [(a, b) for a, _, b in base], max(0.0, float(self.pair.max()))
+        for cl in _chains(candidates(t)):
+            near = [(a, b) for a, b in taken if a < cl[-1][1] and b > min(c[0] for c in cl)]
+            if all(any(a < c[1] and c[0] < b for a, b in near) for c in cl):
                 continue
             s = _scores(cl, self.w)
-            if s.max() <= 0:
+            if s.max() + most <= 0:
                 continue
-            p = _posteriors(cl, s)
-            for k, kind in _viterbi(cl, s):
+            p, _ = _posteriors(cl, s, self.pair)
+            if p.max() < add_at:
+                continue
+            for k, kind in _viterbi(cl, s, self.pair):
                 a, b, _ = cl[k]
-                if p[k, kind] >= add_at and not any(x < b and a < y for x, y in taken):
+                if p[k, kind] >= add_at and not any(x < b and a < y for x, y in near):
                     out.append((a, kind, b))
         return sorted(out)
 
@@ -290,64 +316,88 @@ def _rewrites(rng: random.Random) -> tuple[str, int | None]:
     return rng.choice([bad, four(bad, " "), four(bad, "-"), d(7), d(8), d(9), d(10), d(11), d(12), d(13), f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)}.{d(6)}", f"{d(4)} {d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"{rng.randrange(256, 999)}.{oct_()}.{oct_()}.{oct_()}", f"{d(3)} {d(3)} {d(3)}", f"{d(5)}-{d(4)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", "look at the dot", "at home", f"{d(20)}"]), None
 
 
-def training_set(texts: list[str], seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Windows of text with their labelled spans: what the base finds, and rewrites put in."""
+def windows(t: str, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Windows of a text with their labelled spans: around every span that the base finds, and four with rewrites put in."""
     rng, out = random.Random(seed), []
-    for t in texts:
-        base = base_spans(t)
-        for a, k, b in base[:20]:
-            lo, hi = max(0, a - 40), min(len(t), b + 40)
-            out.append((t[lo:hi], [(x - lo, kk, y - lo) for x, kk, y in base if x >= lo and y <= hi]))
-        at = t.find(" ", rng.randrange(len(t) or 1)) if t else -1
-        if at < 0:
-            continue
-        lo = max(0, at - 40)
-        for _ in range(4):
+    base = base_spans(t)
+    starts, ends = [x for x, _, _ in base], np.maximum.accumulate([y for _, _, y in base]).tolist() if base else []
+    for a, _, b in base:
+        lo, hi = max(0, a - 40), min(len(t), b + 40)
+        i, j = int(np.searchsorted(ends, lo)), int(np.searchsorted(starts, hi))
+        out.append((t[lo:hi], [(x - lo, kk, y - lo) for x, kk, y in base[i:j] if x >= lo and y <= hi]))
+    at = t.find(" ", rng.randrange(len(t) or 1)) if t else -1
+    if at < 0:
+        return out
+    lo = max(0, at - 40)
+    for _ in range(4):
+        # now and then two stand side by side, as in a line of contacts
+        w, spans = t[lo : at + 1], []
+        for _ in range(2 if rng.random() < 0.25 else 1):
             s, k = _rewrites(rng)
-            left = t[lo : at + 1] + (rng.choice(["call ", "phone ", "card ", "mail ", "ip "]) if rng.random() < 0.1 else "")
-            w = left + s + rng.choice(["", ".", ","]) + t[at : at + 40]
-            spans = base_spans(w)
-            if k is not None:
-                mine = (len(left), k, len(left) + len(s))
-                spans = [x for x in spans if x[2] <= mine[0] or x[0] >= mine[2]] + [mine]
-            else:
-                spans = [x for x in spans if x[2] <= len(left) or x[0] >= len(left) + len(s)]
-            out.append((w, sorted(spans)))
+            w += rng.choice(["call ", "phone ", "card ", "mail ", "ip "]) if rng.random() < 0.1 else ""
+            spans.append((len(w), k, len(w) + len(s)))
+            w += s + rng.choice(["", ".", ","]) + " "
+        w = w[:-1] + t[at : at + 40]
+        put = [x for x in spans if x[1] is not None]
+        out.append((w, sorted(put + [x for x in base_spans(w) if all(x[2] <= a or x[0] >= b for a, _, b in spans)])))
     return out
 
 
-def fit(data, epochs: int = 10, rate: float = 0.2, l2: float = 3e-4) -> Model:
-    """Adagrad on the conditional log-likelihood, cluster by cluster."""
-    items = []
+def training_set(texts: list[str], seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    return [x for k, t in enumerate(texts) for x in windows(t, seed * 1_000_003 + k)]
+
+
+def fit(data, epochs: int = 10, rate: float = 0.3, l2: float = 3e-4) -> Model:
+    """Adagrad on the conditional log-likelihood, chain by chain."""
+    items, kinds = [], len(KINDS)
     for t, spans in data:
         gold = {(a, b): k for a, k, b in spans}
-        for cl in _clusters(candidates(t)):
-            y = np.zeros((len(cl), len(KINDS)))
+        for cl in _chains(candidates(t)):
+            y, pairs, last, end = np.zeros((len(cl), kinds)), np.zeros((1 + kinds, kinds)), 0, -1
             for i, c in enumerate(cl):
-                if (c[0], c[1]) in gold:
-                    y[i, gold[c[0], c[1]]] = 1
-            items.append((cl, y, np.concatenate([c[2] for c in cl]).astype(np.int64), np.repeat(np.arange(len(cl)), [len(c[2]) for c in cl])))
-    w, acc = np.zeros((DIM, len(KINDS))), np.full((DIM, len(KINDS)), 1e-2)
+                if (c[0], c[1]) in gold and c[0] >= end:
+                    k = gold[c[0], c[1]]
+                    y[i, k] = 1
+                    pairs[last, k] += 1
+                    last, end = 1 + k, c[1]
+            items.append((cl, y, pairs, np.concatenate([c[2] for c in cl]).astype(np.int64), np.repeat(np.arange(len(cl)), [len(c[2]) for c in cl])))
+    w, acc = np.zeros((DIM, kinds)), np.full((DIM, kinds), 1e-2)
+    pair, pacc = np.zeros((1 + kinds, kinds)), np.full((1 + kinds, kinds), 1.0)
     rng = np.random.default_rng(1)
     for _ in range(epochs):
         for i in rng.permutation(len(items)):
-            cl, y, slots, rows = items[i]
+            cl, y, pairs, slots, rows = items[i]
             s = np.zeros(y.shape)
             np.add.at(s, rows, w[slots])
-            d = (_posteriors(cl, s) - y)[rows]
-            if np.abs(d).max() < 1e-4:
+            p, uses = _posteriors(cl, s, pair)
+            d = (p - y)[rows]
+            if np.abs(d).max() < 1e-3:
                 continue
             g = d + l2 * w[slots]
             acc[slots] += g * g
             w[slots] -= rate * g / np.sqrt(acc[slots])
-    return Model(w)
+            g = uses - pairs + l2 * pair
+            pacc += g * g
+            pair -= rate * g / np.sqrt(pacc)
+    return Model(w, pair)
 
 
-def train(documents: DataFrame, n: int = SAMPLE_TEXTS) -> Model:
-    """Fits on at most n texts, those of smallest id hash (a bound that holds at every size)."""
+def train(documents: DataFrame, n: int = SAMPLE_TEXTS, most: int = SAMPLE_WINDOWS) -> Model:
+    """Fits on windows of at most n texts, those of smallest id hash (a bound that holds at every size)."""
     ids = documents.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(n)
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    return fit(training_set([r["text"] for r in rows.orderBy("doc_id").collect()]))
+    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                t = b.column(1)[i].as_py()
+                got = [(w, json.dumps(x)) for w, x in windows(t or "", b.column(0)[i].as_py()) if len(w) <= WINDOW_CHARS]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*got)], ["w", "spans"])
+
+    rows = sample.mapInArrow(run, "w string, spans string")
+    got = rows.orderBy(F.xxhash64("w", "spans"), "w", "spans").limit(most).collect()
+    return fit([(r[0], [tuple(x) for x in json.loads(r[1])]) for r in got])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
