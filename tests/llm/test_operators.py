@@ -299,6 +299,53 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(warc.with_roles(pages.where("false")), common.shared_dir(spark, "w"))).count() == 0
 
 
+def test_warc_long_payloads_and_odd_bytes(spark):
+    """Members longer than several splits, incompressible ones, payloads that hold gzip members and WARC headers."""
+    r = random.Random(9)
+    inner = warc.record(1, "u", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), None)
+    rows = [(k, "u", t) for k, t in enumerate([noise("abcdefghij<>", 1, 2)[0] + "".join(r.choices("abcdefgh <>&", k=300_000)), "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 20, inner.decode("latin-1"), "z" * 500_000, ""])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = warc.write(warc.with_roles(pages), common.shared_dir(spark, "w"), file_bytes=1 << 30)
+    for split in (1000, 1 << 20):
+        got = {x["page_id"]: (x["payload_bytes"], x["payload_digest"]) for x in warc.read(manifest, split).collect()}
+        assert got == {k: (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for k, _, t in rows}
+
+
+class Bytes:
+    def __init__(self, b):
+        self.b = b
+
+    def size(self):
+        return len(self.b)
+
+    def read_at(self, n, at):
+        return self.b[at : at + n]
+
+
+def test_warc_reader_validates_headers_and_raises_on_broken_members():
+    import gzip
+
+    one = warc.record(1, "u1", b"p" * 300, hashlib.sha256(b"p" * 300).hexdigest(), None)
+    two = warc.record(2, "u2", b"q" * 300, hashlib.sha256(b"q" * 300).hexdigest(), None)
+    junk = [b"\x1f\x8b\x08 no gzip", gzip.compress(b"WARC/1.1\r\nno colon here\r\n\r\n"), gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"), gzip.compress(b"something else"), gzip.compress(b"WARC/9\r\n\r\n")]
+    whole = junk[0] + one + b"".join(junk[1:]) + two
+    ids = lambda b, *at: [h["warc-record-id"] for _, h, _ in warc.members(Bytes(b), *at)]
+    assert ids(whole, 0, len(whole)) == ["<urn:page:1>", "<urn:page:2>"]
+    cuts = sorted(random.Random(1).sample(range(1, len(whole)), 12))
+    assert [x for a, b in zip([0, *cuts], [*cuts, len(whole)]) for x in ids(whole, a, b)] == ["<urn:page:1>", "<urn:page:2>"]
+    with pytest.raises(ValueError):
+        ids(whole[:-20], 0, len(whole))
+    with pytest.raises(ValueError, match="broken"):
+        ids(one[:-30] + b"\0" * 30 + two, 0, 2000)
+
+
+def test_warc_read_is_held_against_the_manifest(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "b")], "page_id bigint, url string, html string")
+    manifest = warc.write(warc.with_roles(pages), common.shared_dir(spark, "w"))
+    with pytest.raises(ValueError, match="manifest"):
+        warc.read(manifest.selectExpr("path", "bytes", "records + 1 as records"))
+
+
 def test_licenses(spark, odd, empty):
     mit = licenses.TEMPLATES["MIT"][2]
     edited = mit.replace("free of charge,", "free of all charge,").replace("publish, ", "")

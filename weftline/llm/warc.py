@@ -6,17 +6,22 @@ another are joined back, by page_id, which has no hot keys. Each task writes its
 names and returns a manifest; only files of the manifest are read, so a lost or repeated task leaves at
 most files that nobody reads.
 
-Reading: a split is a byte range. A task looks for the gzip magic in its range, starts to inflate each
-candidate and accepts it only if the output begins with a WARC header; it owns the records that start
-in its range and reads past the end to finish the last. The next search begins where the accepted member ended.
+Reading: a split is a byte range. A task looks for the gzip magic in its range, inflates the beginning of
+each candidate and accepts it only if that decodes to a whole WARC header: version, well-formed fields, and a
+type, record id and content length among them. It owns the records that start in its range and reads past
+the end to finish the last; the next search begins where the accepted member ended. Bytes that don't
+inflate, or to something else, are passed over; an accepted member that breaks, ends early or is longer or
+shorter than its header says raises. The records read of each file are held against the manifest.
 
 Defined cases: a null html is an empty payload; equal payloads under the bound are all responses; rows
-with one page_id are written each; CR and LF in a url are percent-encoded.
+with one page_id are written each; CR and LF in a url are percent-encoded; an empty table gives no files and no rows;
+only page_id, url and html are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +35,7 @@ from . import common
 
 MIN_REVISIT = 100
 FILE_BYTES, SPLIT_BYTES, MAX_TASKS = 1 << 30, 16 << 20, 50_000
-MAGIC, PIECE = b"\x1f\x8b\x08", 1 << 16
+MAGIC, PIECE, HEADER, STEP = b"\x1f\x8b\x08", 1 << 16, 1 << 20, 128
 READ_SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string"
 
 
@@ -47,7 +52,9 @@ def with_roles(pages: DataFrame) -> DataFrame:
     narrow = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("x")).select("page_id", F.octet_length("x").alias("n"), F.sha2("x", 256).alias("digest")).where(f"n >= {MIN_REVISIT} and page_id is not null")
     narrow = common.persist(narrow.select("page_id", "digest"), "warc-digests")
     firsts = common.persist(narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_max")).where("refers_to < _max").select("digest", "refers_to"), "warc-firsts")
-    revisits = narrow.join(firsts, "digest").where("page_id <> refers_to").select("page_id", F.col("digest").alias("_d"), "refers_to").distinct()
+    # a written table, so that the planner knows its size: few revisits are broadcast and the pages stay where they are
+    revisits = common.persist(narrow.join(firsts, "digest").where("page_id <> refers_to").select("page_id", F.col("digest").alias("_d"), "refers_to").distinct(), "warc-revisits")
+    common.drop(narrow, firsts)
     p = p.withColumn("digest", F.sha2("payload", 256))
     return p.join(revisits, (p.page_id == revisits.page_id) & (p.digest == revisits._d), "left").select(p.page_id, "url", "payload", "digest", "refers_to")
 
@@ -96,52 +103,64 @@ def write(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFra
     return common.persist(rows.mapInArrow(run, "path string, bytes bigint, records bigint"), "warc-manifest")
 
 
-def _parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
+def _header(raw: bytes) -> tuple[dict[str, str], int] | None:
+    """(fields in lower case, length of the header) where raw begins with a whole and well-formed WARC header."""
     end = raw.find(b"\r\n\r\n")
-    if end < 0:
+    if end < 0 or not re.match(rb"WARC/1\.[01]\r\n", raw):
         return None
     head = {}
     for line in raw[:end].decode("utf-8", "replace").split("\r\n")[1:]:
-        k, _, v = line.partition(":")
+        k, colon, v = line.partition(":")
+        if not colon or not k.strip():
+            return None
         head[k.strip().lower()] = v.strip()
-    n = int(head.get("content-length", 0))
-    return head, raw[end + 4 : end + 4 + n]
+    if not head.keys() >= {"warc-type", "warc-record-id", "content-length"} or not head["content-length"].isdigit():
+        return None
+    return head, end + 4
 
 
-def members(f, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
-    """(position, decoded bytes) of the WARC members of an open file that start in [start, stop)."""
+def members(f, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(position, header fields, block) of the WARC members of an open file that start in [start, stop)."""
     size = f.size()
     stop = min(stop, size)
-    base, buf = start, f.read_at(max(0, min(stop + len(MAGIC) - 1, size) - start), start)
+    buf = f.read_at(max(0, min(stop + len(MAGIC) - 1, size) - start), start)
     pos = 0
-    while (pos := buf.find(MAGIC, pos)) >= 0 and base + pos < stop:
-        z, out, at, ok = zlib.decompressobj(31), [], pos, None
+    while (pos := buf.find(MAGIC, pos)) >= 0 and start + pos < stop:
+        z, out, at, head, piece = zlib.decompressobj(31), [b""], start + pos, None, b""
         try:
             while not z.eof:
-                if at >= len(buf):
-                    more = f.read_at(min(1 << 20, size - base - len(buf)), base + len(buf)) if base + len(buf) < size else b""
-                    if not more:
-                        ok = False
+                if not piece:  # of the split from memory, past its end piece by piece
+                    piece = buf[at - start : at - start + PIECE] if at < start + len(buf) else f.read_at(min(PIECE, size - at), at) if at < size else b""
+                    at += len(piece)
+                    if not piece:
                         break
-                    buf += more
-                piece = memoryview(buf)[at : at + PIECE]
-                out.append(z.decompress(piece))
-                at += len(piece)
-                if ok is None and sum(map(len, out[:64])) >= 7:
-                    ok = b"".join(out)[:7] == b"WARC/1."
-                    if not ok:
+                if head is None:  # in small steps, so that damage behind the header is known for what it is
+                    out[0] += z.decompress(piece, STEP)
+                    head = _header(out[0])
+                    if head is None and (len(out[0]) > HEADER or not b"WARC/1.".startswith(out[0][:7])):
                         break
-        except zlib.error:
-            ok = False
-        if ok and z.eof:
-            yield base + pos, b"".join(out)
-            pos = at - len(z.unused_data)
-        else:
+                    piece = z.unconsumed_tail
+                else:
+                    out.append(z.decompress(piece))
+                    piece = b""
+        except zlib.error as e:
+            if head is not None:
+                raise ValueError(f"broken WARC member at {start + pos}: {head[0]['warc-record-id']}") from e
+        if head is None:
             pos += 1
+            continue
+        raw = b"".join(out)
+        n = int(head[0]["content-length"])
+        if not z.eof or len(raw) != head[1] + n + 4 or raw[-4:] != b"\r\n\r\n":
+            raise ValueError(f"broken WARC member at {start + pos}: {head[0]['warc-record-id']}")
+        yield start + pos, head[0], raw[head[1] : head[1] + n]
+        pos = at - len(z.unused_data) - start
+        if pos >= len(buf):
+            return
 
 
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of the manifest's files; split into byte ranges whatever the files' sizes."""
+    """Records of the manifest's files; split into byte ranges whatever the files' sizes. The result is a written table, complete by the manifest."""
     splits = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))).alias("start"))
     # a task per split (at most MAX_TASKS): the rows are too narrow for adaptive execution to see what they cost
     total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
@@ -153,17 +172,20 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 fs, at = _open(path)
                 rows = []
                 with fs.open_input_file(at) as f:
-                    for _, raw in members(f, start, start + split_bytes):
-                        got = _parse(raw)
-                        if got and got[0].get("warc-type") in ("response", "revisit"):
-                            rows.append(_row(*got))
+                    for _, head, block in members(f, start, start + split_bytes):
+                        if head["warc-type"] in ("response", "revisit"):
+                            rows.append((*_row(head, block), path))
                         if len(rows) >= 2000:
                             yield _batch(rows)
                             rows = []
                 if rows:
                     yield _batch(rows)
 
-    return splits.mapInArrow(run, READ_SCHEMA)
+    out = common.persist(splits.mapInArrow(run, f"{READ_SCHEMA}, path string"), "warc-read")
+    lost = manifest.select("path", "records").join(out.groupBy("path").agg(F.count("*").alias("n")), "path", "left").where("records <> coalesce(n, 0)")
+    if bad := lost.limit(3).collect():
+        raise ValueError(f"records read differ from the manifest: {bad}")
+    return out.drop("path")
 
 
 def _page(uri: str | None) -> int | None:
@@ -185,8 +207,8 @@ def _row(head: dict[str, str], block: bytes) -> tuple:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows))
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "path"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
