@@ -1,19 +1,25 @@
 """License scans (operator 7): winnowed fingerprints, then banded alignment.
 
-Templates are token sequences. Of their hashed `K`-token grams winnowing keeps the smallest of every
-`WINDOW` neighbours, in an inverted index gram -> (template, position); the index is fixed with the
-template list, so it travels with the task. A text is fingerprinted the same way in numpy; grams found in the index are
-candidates, gathered per template and diagonal, and each is confirmed by a local alignment of the whole
-template against the text within a band of `BAND` tokens around the diagonal. A match reports its
-matched coverage (aligned equal tokens over template tokens) and its span in code points, and counts
-from `MIN_COVERAGE` on; of overlapping matches the one with more matched tokens stays.
-
-A template and a text that share K + WINDOW - 1 tokens in a row share a fingerprint, which includes
-every template's shortest form. Null and empty texts have no matches; a text gives one row per match.
+Templates are token sequences. An inverted index holds, of every template longer than `SHORT` tokens, the
+hashed `K`-token grams that winnowing selects (the smallest of every `WINDOW` neighbours). All grams of a text
+are looked up, so a text and such a template that share K + WINDOW - 1 tokens in a row share a fingerprint.
+Shorter templates may match without any gram in common; of those the index holds single tokens instead, the
+rarest ones, one more than a match may lack, so that no match is without one.
+
+Hits are gathered per template and diagonal. A candidate whose surroundings lack too many of the template's tokens can't
+match; the others are confirmed by a local alignment of the whole template against the text within a band
+of `BAND` tokens around the diagonal. A match reports its matched coverage (aligned equal tokens over
+template tokens) and its span in code points, and counts from `MIN_COVERAGE` on; of overlapping matches the
+one with more matched tokens stays.
+
+Defined cases: null and empty texts have no matches, an empty table gives no rows; a text gives one row per
+match, in order of place; repeated rows give theirs each; of equally long overlapping matches the fuller,
+then the first stays; only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 K, WINDOW, BAND, MIN_COVERAGE = 3, 3, 8, 0.75
+#: Templates of at most so many tokens are indexed by single tokens.
+SHORT = 20
+#: Tokens too frequent in ordinary text to look for while a template has others.
+FREQUENT = frozenset("a an and any are as at be by can copy for form from in is it may not of on or other software source terms that the this to under use version with without work you".split())
 
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
@@ -60,39 +70,58 @@ def _tokens(c: common.Chunk):
     return common.span_hashes(t.data, s, e), s, e, lim
 
 
-def winnow(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and values of the selected grams: the rightmost smallest of every WINDOW neighbours."""
-    g = common.ngram_hashes(h, K)
+def winnow(g: np.ndarray) -> np.ndarray:
+    """Positions of the selected grams: the rightmost smallest of every WINDOW neighbours."""
     if len(g) <= WINDOW:
-        at = np.array([len(g) - 1 - int(np.argmin(g[::-1]))]) if len(g) else np.zeros(0, np.int64)
-        return at, g[at]
+        return np.array([len(g) - 1 - int(np.argmin(g[::-1]))]) if len(g) else np.zeros(0, np.int64)
     w = np.lib.stride_tricks.sliding_window_view(g, WINDOW)[:, ::-1]
-    at = np.unique(np.arange(len(w)) + WINDOW - 1 - w.argmin(1))
-    return at, g[at]
+    return np.unique(np.arange(len(w)) + WINDOW - 1 - w.argmin(1))
 
 
 class Index:
-    def __init__(self, templates: dict[str, list[str]]):
-        self.names, self.seqs, rows = [], [], []
+    def __init__(self, templates: dict[str, list[str]], min_coverage: float = MIN_COVERAGE):
+        self.names, self.seqs, self.counts, self.min_coverage = [], [], [], min_coverage
+        grams, single = [], []
         for name, texts in templates.items():
             for text in texts:
                 c = next(common.chunks(pa.array([text], pa.large_string())))
-                h, _, _, _ = _tokens(c)
+                h, s, e, _ = _tokens(c)
                 t = len(self.seqs)
-                self.names.append(name), self.seqs.append(h)
-                # every gram of the template is indexed, so that any gram selected in a text can meet it
-                rows += [(int(v), t, p) for p, v in enumerate(common.ngram_hashes(h, K).tolist())]
+                self.names.append(name), self.seqs.append(h), self.counts.append(Counter(h.tolist()))
+                if len(h) > SHORT:
+                    g = common.ngram_hashes(h, K)
+                    grams += [(int(g[p]), t, int(p)) for p in winnow(g)]
+                else:
+                    low = [c.data[a:b].tobytes().decode().lower() for a, b in zip(s, e)]
+                    rare = sorted(range(len(h)), key=lambda p: (low[p] in FREQUENT, -len(low[p]), p))
+                    single += [(int(h[p]), t, p) for p in rare[: len(h) - self.least(t) + 1]]
+        self.grams, self.single = (self._columns(x) for x in (grams, single))
+
+    def least(self, t: int) -> int:
+        """Tokens of template t that a match has."""
+        return int(np.ceil(self.min_coverage * len(self.seqs[t])))
+
+    @staticmethod
+    def _columns(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
         rows.sort()
-        self.grams = np.array([r[0] for r in rows], np.uint64)
-        self.template = np.array([r[1] for r in rows])
-        self.place = np.array([r[2] for r in rows])
+        return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the grams and of the tokens of h that the index holds."""
+        return np.flatnonzero(np.isin(common.ngram_hashes(h, K), self.grams[0])), np.flatnonzero(np.isin(h, self.single[0]))
 
-    def lookup(self, at: np.ndarray, g: np.ndarray):
-        """(text position, template, template position) of every gram that the index holds."""
-        lo, hi = np.searchsorted(self.grams, g, "left"), np.searchsorted(self.grams, g, "right")
-        for k in np.flatnonzero(hi > lo).tolist():
-            for r in range(lo[k], hi[k]):
-                yield int(at[k]), int(self.template[r]), int(self.place[r])
+    def lookup(self, h: np.ndarray):
+        """(text position, template, template position) of everything that the index holds."""
+        for (keys, template, place), values, at in zip((self.grams, self.single), (common.ngram_hashes(h, K), h), self.hits(h)):
+            lo, hi = np.searchsorted(keys, values[at], "left"), np.searchsorted(keys, values[at], "right")
+            for p, x, y in zip(at.tolist(), lo.tolist(), hi.tolist()):
+                for r in range(x, y):
+                    yield p, int(template[r]), int(place[r])
+
+    def may_match(self, h: np.ndarray, t: int, shift: int) -> bool:
+        """Whether the band around a diagonal holds enough of the template's tokens."""
+        near = Counter(h[max(0, shift - BAND) : shift + len(self.seqs[t]) + BAND].tolist())
+        return sum(min(n, near[x]) for x, n in self.counts[t].items()) >= self.least(t)
 
 
 def align(text: np.ndarray, tmpl: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
@@ -129,19 +158,21 @@ def align(text: np.ndarray, tmpl: np.ndarray, shift: int, band: int = BAND) -> t
     return best[1:]
 
 
-def scan_tokens(h: np.ndarray, index: Index, min_coverage: float) -> list[tuple[str, float, int, int]]:
+def scan_tokens(h: np.ndarray, index: Index) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first token, end token) of the matches in one text."""
-    spots: dict[int, set[int]] = {}
-    for pos, t, place in index.lookup(*winnow(h)):
-        near = spots.setdefault(t, set())
-        if not any(abs(s - (pos - place)) <= BAND // 2 for s in near):
-            near.add(pos - place)
+    spots: dict[int, list[int]] = {}
+    for t, shift in sorted({(t, pos - place) for pos, t, place in index.lookup(h)}):
+        near = spots.setdefault(t, [])
+        if not near or shift - near[-1] > BAND // 2:
+            near.append(shift)
     found = []
     for t, shifts in spots.items():
         seq = index.seqs[t]
         for shift in shifts:
+            if not index.may_match(h, t, shift):
+                continue
             n, a, b = align(h, seq, shift)
-            if n >= min_coverage * len(seq):
+            if n >= index.least(t):
                 found.append((n, t, a, b, n / len(seq)))
     found.sort(key=lambda x: (-x[0], -x[4], x[2], x[1]))
     out: list[tuple[str, float, int, int]] = []
@@ -156,20 +187,16 @@ def scan(df: DataFrame, templates: dict[str, list[str]] | None = None, min_cover
     templates = templates or TEMPLATES
 
     def run(batches):
-        index = Index(templates)
+        index = Index(templates, min_coverage)
         for b in batches:
             for c in common.chunks(b.column(1)):
                 h, s, e, lim = _tokens(c)
-                if len(h) >= K:
-                    hot = np.isin(common.ngram_hashes(h, K), index.grams)
-                    hits = np.searchsorted(lim, np.flatnonzero(hot), "right") - 1
-                else:
-                    hits = np.zeros(0, np.int64)
+                hits = np.searchsorted(lim, np.concatenate(index.hits(h)), "right") - 1
                 rows = []
                 lead = common.cumulative((c.data & 0xC0) != 0x80) if len(hits) else None
                 for i in np.unique(hits).tolist():
                     a, z = lim[i], lim[i + 1]
-                    for name, cov, x, y in scan_tokens(h[a:z], index, min_coverage):
+                    for name, cov, x, y in scan_tokens(h[a:z], index):
                         o = lead[c.offs[i]]
                         rows.append((i, name, cov, int(lead[s[a + x]] - o), int(lead[e[a + y - 1]] - o)))
                 if rows:
