@@ -118,6 +118,12 @@ def test_quality_held_out():
     assert hit / n >= 0.9
 
 
+def test_quality_sample_is_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(k, "x" * n) for k, n in enumerate([10, 20, 30, 40, 500])], "doc_id bigint, text string")
+    got = [len(r["text"]) for r in common.within_bytes(rows, 100, 11).collect()]
+    assert sum(got) <= 100 and set(got) <= {10, 20, 30, 40, 500} and len(common.within_bytes(rows, 10_000, 11).collect()) == 5
+
+
 def test_quality_odd(spark, odd, empty, labels):
     m = quality.train(odd, labels.where("false"))
     out = quality.score(odd, m).collect()

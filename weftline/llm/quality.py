@@ -3,13 +3,14 @@
 Base counts come from whole texts with numpy passes over the bytes. The verdict is a logistic
 regression over hashed word 1- and 2-grams and character 3- and 5-grams (each group's frequencies sum
 to 1, so length is no feature), trained on a bounded sample of labelled rows
-(`SAMPLE_PER_CLASS` per class), Platt-calibrated on a fifth of it held back, and scored in Arrow
+(`SAMPLE_PER_CLASS` per class, `SAMPLE_BYTES` of whole texts in all), Platt-calibrated on a fifth of it held back, and scored in Arrow
 batches. A text is kept when it passes the base rules and its probability of quality 1 is at least
 `KEEP_AT`, a fixed threshold: labels are noisy and dropping good text costs more than keeping bad.
 
 Defined cases: a null or empty text has all counts 0 and base_failed true; ties and repeated rows get
-equal results; with no labels of either class the model keeps whatever passes the base rules; columns
-other than doc_id and text are never read, so extra ones cannot clash.
+equal results; a doc_id labelled both ways counts as 0 and of its texts the smallest is read; with no labels of
+either class the model keeps whatever passes the base rules; an empty table gives no rows; columns other than
+doc_id and text are never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import U64
 
-#: Most labelled rows of each class that training reads: the model is fitted on the driver, so its size is fixed.
-SAMPLE_PER_CLASS = 1500
+#: Most labelled rows of each class that training reads, and most bytes of their texts: the model is fitted on the driver, so its size is fixed.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 64 << 20
 BITS = 16
 KEEP_AT = 0.35
 SYMBOL = np.zeros(256, bool)
@@ -186,7 +187,9 @@ def fit(rows: list[tuple[str, int]], epochs: int = 12, rate: float = 10.0, l2: f
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     n = {r[0]: r[1] for r in labels.groupBy("quality").count().collect()}
-    rows = [(r["text"], r["label"]) for r in common.labelled_sample(documents, labels, per_class, "quality").orderBy("doc_id").collect()]
+    sample = common.persist(common.labelled_sample(documents, labels, per_class, "quality").where("text is not null"), "quality-sample")
+    rows = [(r["text"], r["label"]) for r in common.within_bytes(sample, SAMPLE_BYTES, 11).orderBy("doc_id").collect()]
+    common.drop(sample)
     n0, n1 = n.get(0, 0), n.get(1, 0)
     return fit(rows, prior_weight=n1 / (n0 + n1) if n0 + n1 else None)
 
