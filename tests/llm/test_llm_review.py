@@ -22,6 +22,25 @@ def test_neardup_links_border_members_of_two_components_a_bucket(spark):
     assert out == {1: (1, True), 2: (1, False), 3: (1, False), 4: (1, False)}
 
 
+def test_neardup_compares_the_rest_exactly(spark):
+    """Pairs of the prefix join hold every linked pair of different components, whatever template texts share."""
+    r = random.Random(21)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for k in range(60):  # a family of one template, from almost equal to hardly
+        w = list(template)
+        for _ in range(r.choice([1, 2, 3, 20, 30, 40])):
+            w[r.randrange(200)] = f"x{r.randrange(400)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = {i: frozenset(tuple(t.split()[k : k + 3]) for k in range(198)) for i, t in rows}
+    members = spark.createDataFrame([(i, len(x), i % 7) for i, x in sets.items()], "id bigint, n_shingles bigint, comp bigint")
+    pairs = {(p["a"], p["b"]) for p in neardup._prefix_pairs(members, common.persist(neardup._sets(docs), "sets")).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and len(sets[a] & sets[b]) * 100 >= 85 * len(sets[a] | sets[b])}
+    assert linked and linked <= pairs and len(pairs) < 0.5 * 60 * 59 / 2
+
+
 def test_neardup_counts_every_link(spark, monkeypatch):
     # near copies that are all linked, and a long drift whose ends aren't; small blocks, so that pairs cross them
     monkeypatch.setattr(neardup, "BLOCK", 2048, raising=False)
@@ -85,3 +104,40 @@ def test_licenses_recall_against_alignment_on_all_diagonals():
 def test_licenses_leave_ordinary_text_alone():
     for t in ("the license of a driver under the law", "released under pressure, the mit student left", "this work is licensed", "version 2.0 of the software under review"):
         assert licenses.scan_tokens(tokens_of(t), licenses.Index(licenses.TEMPLATES)) == []
+
+
+def test_neardup_finds_every_link_of_the_test_table(spark):
+    """Recall of sf0.1 against an exact join on the rarest shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets = {}
+    for k, t in docs.select("doc_id", "text").collect():
+        x = neardup.shingle_sets(next(common.chunks(pa.array([t or ""], pa.large_string()))))[0]
+        if len(x):
+            sets[k] = frozenset(x.tolist())
+    reps = {}
+    for k in sorted(sets):
+        reps.setdefault(sets[k], k)
+    df = {}
+    for x in reps:
+        for h in x:
+            df[h] = df.get(h, 0) + 1
+    under, par, by = {}, {k: k for k in sets}, {k: x for x, k in reps.items()}
+
+    def find(x):
+        while par[x] != x:
+            par[x] = par[par[x]]
+            x = par[x]
+        return x
+
+    for x, k in sorted(reps.items(), key=lambda y: len(y[0])):
+        first = sorted(x, key=lambda h: (df[h], h))[: len(x) - -(-85 * len(x) // 100) + 1]
+        for j in {j for h in first for j in under.get(h, ())}:
+            y = by[j]
+            if len(y) * 100 >= 85 * len(x) and len(x & y) * 100 >= 85 * len(x | y):
+                a, b = find(k), find(j)
+                par[max(a, b)] = min(a, b)
+        for h in first:
+            under.setdefault(h, []).append(k)
+    exp = {k: find(reps[x]) for k, x in sets.items()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.dedup(docs, count=False).where("n_shingles > 0").collect()}
+    assert got == exp

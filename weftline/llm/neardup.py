@@ -10,15 +10,19 @@ Jaccard 0.85 shares a key with probability 0.999, and one at 0.9 with 0.9999.
 
 Candidates of a bucket are not paired with each other. Each round pairs every unconnected member with
 its bucket's leader (a linear number of pairs), confirms on full sets, and merges components; members
-that a confirmed link has joined need no further pair. What is left after `ROUNDS` rounds (members of a
-bucket that belong to different components) is compared pair by pair, except where the exact distances
-to a leader prove by the triangle inequality that the pair can't be linked, so no link between
-components of a bucket is lost and nothing is capped. Components are found so; the number of links is counted
-afterwards over all pairs of each component. Hot keys in the joins are narrow rows which AQE splits.
+that a confirmed link has joined need no further pair. What is left after `ROUNDS` rounds (members of
+buckets that hold several components) goes through an exact prefix-filter join: linked sets share one of
+their rarest shingles, of the longer set among the first 15 %, of the shorter among the first 8 %, so a
+family of texts that share a template and differ in more than that meets in no key; sizes, the places of
+the shared shingle and components prune within the join. No link between components of a bucket is lost
+and nothing is capped. Components are found so; the number of links is counted afterwards over all pairs
+of each component. Hot keys in the joins are rows of a few integers which AQE splits; full sets travel
+with pairs of ids alone.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and stay alone; fewer than
 three words make one shingle of the whole sequence; several rows with one doc_id are all kept or all
-dropped with the class of each row's own text; rows without doc_id are left out of links and kept.
+dropped with the class of each row's own text; rows without doc_id are left out of links and kept; an
+empty table gives no rows; only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -132,6 +136,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b")
     both = common.persist(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
     label = common.persist(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("comp")), "cc")
+    written = label
     while True:
         # hook: along every edge the smaller label; also onto the label's own node
         near = both.join(label.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("id"), "comp")
@@ -140,9 +145,10 @@ def components(links: DataFrame) -> DataFrame:
         hooked = common.persist(mine.join(roots, "id", "left").select("id", "old", F.least("new", F.coalesce("r", "new")).alias("p")), "cc-hook")
         jump = hooked.join(hooked.select(F.col("id").alias("p"), F.col("p").alias("pp")), "p", "left")
         nxt = common.persist(jump.select("id", "old", F.least("p", F.coalesce("pp", "p")).alias("comp")), "cc")
-        changed = nxt.where("comp <> old").limit(1).count()
-        label = nxt.select("id", "comp")
-        if not changed:
+        common.drop(hooked, written)
+        label, written = nxt.select("id", "comp"), nxt
+        if not nxt.where("comp <> old").limit(1).count():
+            common.drop(both)
             return label
 
 
@@ -165,6 +171,7 @@ def dedup(docs: DataFrame, count: bool = True) -> DataFrame:
     comp = components(_links(docs, bucket))
     degree = _degrees(docs, comp, keyed.select("id", "n_shingles")) if count else comp.select("id", F.lit(None).cast("bigint").alias("count"))
     full = cls.join(comp, cls.rep == comp.id, "left").drop("id").join(degree, cls.rep == degree.id, "left")
+    common.drop(lead, bucket, keyed)
     full = full.select("n_shingles", "s1", "s2", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("count", F.lit(0)) if count else F.col("count")).alias("links"))
     # rows without a set, or without an id, stand for themselves
     out = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "s1", "s2").join(full, ["n_shingles", "s1", "s2"])
@@ -178,7 +185,7 @@ def _links(docs: DataFrame, bucket: DataFrame) -> DataFrame:
     ids = bucket.select(F.col("id").alias("doc_id")).distinct()
     sets = common.persist(_sets(docs.join(ids, "doc_id", "left_semi")), "nd-sets")
     fits = f"least(n_shingles, n_lead) * {DEN} >= greatest(n_shingles, n_lead) * {NUM}"
-    done, active, near = None, bucket, []
+    done, active, led, written = None, bucket, None, []
     for _ in range(ROUNDS):
         if active.limit(1).count() == 0:
             break
@@ -190,36 +197,59 @@ def _links(docs: DataFrame, bucket: DataFrame) -> DataFrame:
         done = got if done is None else done.unionByName(got)
         links = done.where(F.col("inter") * DEN >= F.col("uni") * NUM)
         comp = components(links)
-        # rows keep their distance to each round's leader; buckets of one component are finished
-        at = active.withColumns({"a": F.least("lead", "id"), "b": F.greatest("lead", "id")})
-        near.append(at.join(done.select("a", "b", ((F.col("uni") - F.col("inter")) / F.col("uni")).alias("d")), ["a", "b"], "left").select("key", "id", "lead", F.when(F.col("id") == F.col("lead"), 0.0).otherwise(F.col("d")).alias("d")))
+        leads = active.where("id = lead").select("key", "id")
+        led = leads if led is None else led.unionByName(leads)
         labelled = bucket.drop("lead").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_ = labelled.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key")
         labelled = common.persist(labelled.join(open_, "key", "left_semi"), "nd-open")
-        past = near[0]
-        for x in near[1:]:
-            past = past.unionByName(x)
-        first = past.where("id = lead").select("key", "id").join(labelled, ["key", "id"]).select("key", F.col("comp").alias("_lc"))
+        # components that have had a leader in the bucket need no other
+        first = led.join(labelled, ["key", "id"]).select("key", F.col("comp").alias("_lc"))
         rest = labelled.join(first.distinct(), (labelled.key == first.key) & (labelled.comp == first._lc), "left_anti")
         nxt = rest.groupBy("key").agg(F.min("id").alias("lead"))
         active = common.persist(labelled.join(nxt, "key"), "nd-active")
+        written += [got, labelled, active]
     if done is None:
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     links = done.where(F.col("inter") * DEN >= F.col("uni") * NUM)
     if labelled.limit(1).count():
-        # the exact rest of every bucket that still holds two components or more, led or not: members of different
-        # components, unless a leader's distances rule the pair out
-        comp = labelled
-        past = common.persist(past.where("d is not null"), "nd-near")
-        x = comp.select("key", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca"))
-        y = comp.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-        cross = x.join(y, "key").where(f"a < b and ca <> cb and least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}").select("key", "a", "b")
-        pa_, pb_ = past.select("key", F.col("id").alias("a"), "lead", F.col("d").alias("da")), past.select("key", F.col("id").alias("b"), "lead", F.col("d").alias("db"))
-        ruled = cross.join(pa_, ["key", "a"]).join(pb_, ["key", "b", "lead"]).where(f"abs(da - db) > {1 - NUM / DEN} + 1e-9").select("a", "b")
-        pairs = cross.select("a", "b").distinct().join(ruled.distinct(), ["a", "b"], "left_anti").join(done.select("a", "b"), ["a", "b"], "left_anti")
+        # the exact rest of every bucket that still holds two components or more, led or not
+        pairs = _prefix_pairs(labelled.select("id", "n_shingles", "comp").distinct(), sets).join(done.select("a", "b"), ["a", "b"], "left_anti")
         got = common.persist(_confirm(pairs, sets), "nd-rest")
         links = links.unionByName(got.where(F.col("inter") * DEN >= F.col("uni") * NUM))
-    return common.persist(links.select("a", "b").distinct(), "nd-links")
+        written.append(got)
+    out = common.persist(links.select("a", "b").distinct(), "nd-links")
+    common.drop(sets, *written)
+    return out
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): every pair of members (id, n_shingles, comp) of different components that may be linked.
+
+    Shingles are ordered by how many members hold them, then by hash; those of one member come first and need no key.
+    A set of n shingles is looked up by its first n - ceil(t n) + 1 and found under its first n - ceil(2 t / (1 + t) n) + 1.
+    """
+
+    def run(batches):
+        for b in batches:
+            sets_ = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            ids, sh = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets_]), np.concatenate(sets_ or [np.zeros(0, np.int64)])
+            for lo in range(0, len(sh), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 17)]) for x in (ids, sh)], ["id", "sh"])
+
+    # of a doc_id with several texts the one that stands for the class
+    own_sets = sets.withColumn("n_shingles", (F.length("set") / 8).cast("bigint")).join(members, ["id", "n_shingles"], "left_semi")
+    each = common.persist(own_sets.select("id", "set").mapInArrow(run, "id bigint, sh bigint"), "nd-shingles")
+    often = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
+    own = W.partitionBy("id")
+    shared = each.join(often, "sh").withColumns({"_k": F.row_number().over(own.orderBy("df", "sh")), "_m": F.count("*").over(own)}).join(members, "id")
+    at = shared.withColumn("pos", F.col("n_shingles") - F.col("_m") + F.col("_k")).where(f"pos <= n_shingles - ceil({NUM} * n_shingles / {DEN}) + 1")
+    at = common.persist(at.select("sh", "id", "comp", F.col("n_shingles").alias("n"), "pos"), "nd-prefix")
+    x = at.select("sh", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    y = at.where(f"pos <= n - ceil({2 * NUM} * n / {NUM + DEN}) + 1").select("sh", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    fits = f"cx <> cy and (ny < nx or (ny = nx and y < x)) and ny * {DEN} >= nx * {NUM} and (1 + least(nx - px, ny - py)) * {NUM + DEN} >= {NUM} * (nx + ny)"
+    out = common.persist(x.join(y, "sh").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "nd-pairs")
+    common.drop(each, at)
+    return out
 
 
 def _degrees(docs: DataFrame, comp: DataFrame, sizes: DataFrame) -> DataFrame:
