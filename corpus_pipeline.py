@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the
 shared folder and reads again as the next stage's docs. All but the last keep the columns of documents.
 Models are fitted on the labelled rows of sf_dir (bounded samples) and applied to all of docs.
+
+Defined cases: null, empty and short texts fail the base rules and go in the first stage; a later stage that is given them keeps
+them, and packing makes one piece of the end id of each; rows that repeat are judged alike, and copies of a text under one
+doc_id stay together; rows without doc_id are never near-duplicates; extra columns pass by until packing; an empty table
+gives no rows; without labels nothing is rejected beyond the base rules.
 """
 
 from __future__ import annotations

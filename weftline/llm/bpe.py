@@ -11,7 +11,8 @@ The slices go through a cache of merged pieces (piece -> ids as little-endian by
 merged, by a heap over adjacent pairs, so a run of a million letters stays O(n log n). Token offsets
 (bytes, per id) are derived from the vocabulary's lengths, and decoding joins the vocabulary's bytes.
 
-Null texts count as empty: no ids. Repeated rows give repeated results; other columns pass by.
+Defined cases: null texts count as empty: no ids; repeated rows give repeated results; an empty table gives
+no rows; only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -166,8 +167,10 @@ class Encoder:
         if piece in ranks:
             return [ranks[piece]]
         n = len(piece)
-        if n <= 48:
-            return self._merge_short(piece, n)
+        return self._merge_short(piece, n) if n <= 48 else self._merge_heap(piece, n)
+
+    def _merge_heap(self, piece: bytes, n: int) -> list[int]:
+        ranks = self.ranks
         nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)

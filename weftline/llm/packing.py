@@ -11,7 +11,9 @@ Tokenising keeps a cache of words: text whose characters all lie in a range wher
 composition are one to one is split by the tokenizer's own pattern and each distinct word is given to
 the tokenizer once; any other text, and one that holds the literal of an added token, goes to it whole.
 
-Null texts count as empty: one piece, the end id alone. Repeated rows are packed one by one.
+Defined cases: null texts count as empty: one piece, the end id alone; repeated rows are packed one by one;
+pieces of equal length go in order of doc_id and piece; an empty table gives no rows; only doc_id and text
+are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ unknown, at the lowest score less 10, and counts as its UTF-8 bytes (byte fallba
 No piece has a space mark after another character, and none holds a line feed, so no path crosses those
 places: the text falls into segments whose counts add up and are cached by their text.
 
-Null and empty texts count 0 tokens.
+Defined cases: null and empty texts count 0 tokens; repeated rows give a row each with equal counts; an empty
+table gives no rows; only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
