@@ -12,9 +12,14 @@ _PARTS = r"filter(split(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '$1 $
 
 
 def tokenize_sql(text: str) -> str:
-    """SQL of the identifier tokens of a text: its words, split at _ and lower-to-upper, each followed by the whole if split."""
-    words = f"filter(split({text}, '[^A-Za-z0-9_]'), w -> w <> '')"
-    return f"flatten(transform({words}, w -> transform(array({_PARTS}), p -> if(size(p) > 1, concat(p, array(w)), p))[0]))"
+    """SQL of the identifier tokens of a text: its words, split at _ and lower-to-upper, each followed by the whole if split.
+
+    Only words with such a place need the expressions that split, and most texts have none.
+    """
+    inner = "(_|[a-z][A-Z])"
+    words = f"array_remove(split({text}, '[^A-Za-z0-9_]+'), '')"
+    tokens = f"if(w rlike '{inner}', transform(array({_PARTS}), p -> if(size(p) > 1, concat(p, array(w)), p))[0], array(w))"
+    return f"if({text} rlike '{inner}', flatten(transform({words}, w -> {tokens})), {words})"
 
 
 def tokenize(text: str) -> Column:

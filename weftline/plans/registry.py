@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analysis as A
 from ..operators import bm25, fusion, graph
+from ..operators.index import current
 from ..session import materialize
 
 FIELDS = ["path", "ident", "code"]
@@ -81,8 +82,15 @@ def preview_truncate(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.preview("text").alias("preview"), T.token_estimate("text").cast("bigint").alias("tokens"))
 
 
+def _index(spark, d) -> bm25.Index:
+    """The index of the documents in the shared folder, built again when the table's files have changed."""
+    return current(spark, f"{d}/documents.parquet", FIELDS, lambda: bm25.field_terms(_docs(spark, d)))
+
+
 def bm25_postings(spark, d):
-    return bm25.document_frequency(bm25.postings(bm25.field_terms(_docs(spark, d)), FIELDS)).select("term", F.col("df").cast("bigint"))
+    """The postings: what every term's documents hold of it by field, as sums and a digest over doc_id."""
+    p = bm25.postings(bm25.field_terms(_docs(spark, d)), FIELDS)
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("doc_id") * F.col("tf_code")).alias("code"), F.sum("tf_path").alias("path"), F.sum("tf_ident").alias("ident"))
 
 
 def bm25_stats(spark, d):
@@ -91,7 +99,7 @@ def bm25_stats(spark, d):
 
 
 def _search(spark, d, q, k):
-    return bm25.search(bm25.field_terms(_docs(spark, d)), q, FIELDS, k)
+    return bm25.search(_index(spark, d), q, FIELDS, k)
 
 
 def _one(spark, text):
@@ -110,11 +118,11 @@ def bm25_multi_query(spark, d):
 
 
 def query_filters(spark, d):
-    return bm25.execute(bm25.field_terms(_docs(spark, d)), f"{WORDS} ext:en -path:src1", 10, FIELDS).select("doc_id", "file", F.round("score", 4).alias("score"))
+    return bm25.execute(_index(spark, d), f"{WORDS} ext:en -path:src1", 10, FIELDS).select("doc_id", "file", F.round("score", 4).alias("score"))
 
 
 def search_overfetch_cut(spark, d):
-    return bm25.execute(bm25.field_terms(_docs(spark, d)), f"{WORDS} path:src7/", 3, FIELDS).select("doc_id", "file", F.round("score", 4).alias("score"))
+    return bm25.execute(_index(spark, d), f"{WORDS} path:src7/", 3, FIELDS).select("doc_id", "file", F.round("score", 4).alias("score"))
 
 
 def _dense(spark, d, k, queries="id = 0"):
@@ -373,7 +381,7 @@ ORACLE_SQL = {
     "extract_identifiers": f"SELECT ident, count(*) AS n FROM (SELECT unnest({_tok('html')}) AS ident FROM pages) WHERE length(ident) >= 2 AND NOT regexp_full_match(ident, '[0-9]+') GROUP BY 1",
     "string_literals": """SELECT literal, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '"((?:[^"\\\\]|\\\\[\\s\\S])*)"', 1)) AS literal FROM pages) WHERE strlen(literal) BETWEEN 1 AND 199 GROUP BY 1""",
     "preview_truncate": "SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 240) AS preview, CAST(strlen(text) // 4 AS BIGINT) AS tokens FROM documents",
-    "bm25_postings": _bm(_Q1, "SELECT term, CAST(df AS BIGINT) AS df FROM df"),
+    "bm25_postings": _bm(_Q1, ", o AS (SELECT doc_id, unnest(c) AS term, 1 AS c, 0 AS p, 0 AS i FROM f UNION ALL SELECT doc_id, unnest(p), 0, 1, 0 FROM f UNION ALL SELECT doc_id, unnest(i), 0, 0, 1 FROM f) SELECT term, count(DISTINCT doc_id) AS df, CAST(sum(doc_id * c) AS BIGINT) AS code, CAST(sum(p) AS BIGINT) AS path, CAST(sum(i) AS BIGINT) AS ident FROM o GROUP BY term"),
     "bm25_stats": _bm(_Q1, "SELECT count(*) AS n_docs, round(avg(len(p)), 6) AS avg_path, round(avg(len(i)), 6) AS avg_ident, round(avg(len(c)), 6) AS avg_code FROM f"),
     "bm25_search": _bm(_Q1, "SELECT doc_id, file, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"),
     "bm25_multi_query": _bm("SELECT item_id AS query_id, text FROM benchmark WHERE text IS NOT NULL", "SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"),

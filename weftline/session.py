@@ -12,14 +12,19 @@ def build(app: str = "weftline", master: str | None = None) -> SparkSession:
     return (b.master(master) if master else b).getOrCreate()
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (local runs), below the warehouse."""
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset (local runs), a folder of the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared_base(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
