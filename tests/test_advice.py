@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_calls_leave_no_caller_and_no_line_out(spark):
-    x = registry._all_calls(spark, DATA)
+    x = registry._calls(spark, DATA)
     li = spark.read.parquet(f"{DATA}/lineitem.parquet")
     longer = li.groupBy("l_orderkey").count().where("count > 1").select("l_orderkey")
     first = li.join(longer, "l_orderkey").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("k"))
@@ -28,7 +28,7 @@ def test_nearest_takes_every_query(spark, monkeypatch):
 
 
 def test_pagerank_over_whole_tables(spark):
-    ids = {r["id"] for r in registry.QUERIES["trade_pagerank"](spark, DATA).collect()}
+    ids = {r["id"] for r in registry.QUERIES["pagerank"](spark, DATA).collect()}
     for kind, table, key in (("c", "customer", "c_custkey"), ("s", "supplier", "s_suppkey")):
         assert {f"{kind}{r[0]}" for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()} <= ids
 

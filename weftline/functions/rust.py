@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+import numpy as np
+
 _SKIP = re.compile(r"//[^\n]*|/\*|b?r(#*)\"|b?\"|b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.)|[^\\'\n])'", re.S)
 _ITEM = re.compile(r"(?P<vis>pub(?:\s*\([^)]*\))?\s+)?(?P<mods>(?:(?:default|async|unsafe|const|extern(?:\s+\" *\")?)\s+)*?)(?P<kw>fn|struct|enum|union|trait|impl|const|static|type|mod|use)\b")
 _NAME = re.compile(r"\s*(?:mut\s+)?(?:r#)?([A-Za-z_]\w*)")
@@ -76,11 +78,19 @@ def _body(t: str, at: int, end: int) -> tuple[int, int]:
     return end, end
 
 
+def byte_offsets(src: str):
+    """Function from places in a text to offsets in its UTF-8."""
+    if src.isascii():
+        return int
+    at = np.concatenate([[0], np.cumsum((lambda c: 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))(np.frombuffer(src.encode("utf-32-le", "surrogatepass"), np.uint32)))])
+    return lambda k: int(at[k])
+
+
 class File:
     def __init__(self, path: str, src: str):
         self.path, self.src, self.t = path, src, mask(src)
         self.lines = [0, *(m.end() for m in re.finditer("\n", src))]
-        self.ascii = src.isascii()
+        self.byte = byte_offsets(src)
         self.symbols: list[dict] = []
         self.calls: list[dict] = []
         self.imports: list[dict] = []
@@ -88,9 +98,6 @@ class File:
         self.items(0, len(src), ["crate"], None)
         self.find_calls()
 
-    def byte(self, k: int) -> int:
-        return k if self.ascii else len(self.src[:k].encode())
-
     def place(self, a: int, b: int) -> dict:
         ra, rb = bisect_right(self.lines, a) - 1, bisect_right(self.lines, b) - 1
         return {"start_byte": self.byte(a), "end_byte": self.byte(b), "start_line": ra, "end_line": rb, "start_col": self.byte(a) - self.byte(self.lines[ra]), "end_col": self.byte(b) - self.byte(self.lines[rb])}
@@ -238,18 +245,23 @@ class File:
 
     def find_calls(self) -> None:
         t = self.t
-        for m in list(_MACRO.finditer(t)):
-            b = _match(t, m.start(1))
-            t = t[: m.start(1)] + _blank(t[m.start(1) : b]) + t[b:]
+        parts, at = [], 0
+        for m in _MACRO.finditer(t):
+            if m.start(1) >= at:
+                b = _match(t, m.start(1))
+                parts += [t[at : m.start(1)], _blank(t[m.start(1) : b])]
+                at = b
+        t = "".join([*parts, t[at:]])
         t = re.sub(r"#!?\[[^\]]*\]", lambda m: _blank(m.group()), t)
         fns = sorted(self.fns)
         for m in _CALL.finditer(t):
             name, a = m["name"], m.start("name")
-            before = t[:a].rstrip()[-12:]
+            before = t[max(0, a - 200) : a].rstrip()[-12:]
             if name in _WORDS or re.search(r"\b(fn|struct|enum|impl|let|union)$", before):
                 continue
             caller = next((s for o, b, s in reversed(fns) if o < a < b), None)
-            after = t[_match(t, m.end() - 1) :][:40].lstrip()
+            end = _match(t, m.end() - 1)
+            after = t[end : end + 40].lstrip()
             if after.startswith("=>") or re.match(r"(\||if\b)", after) or (re.match(r"=[^=]", after) and re.search(r"\blet\b[^;{]*$", t[max(0, a - 80) : a])):
                 continue
             if caller is None and not re.search(r"=[^;]*$", t[max(0, a - 200) : a]):
@@ -261,3 +273,84 @@ class File:
 
 def parse(path: str, src: str) -> File:
     return File(path, src)
+
+
+# -- folding -------------------------------------------------------------------------------------
+
+_KEPT = ("use", "mod", "type", "struct", "enum", "union", "trait")
+_SHORT_MACRO = 200
+
+
+def fold(src: str) -> str:
+    """The source reduced to signatures: bodies of functions and values of constants are elided, members of impl blocks
+    folded alike, the rest of the items kept with their doc comments and attributes. Each attribute is written once."""
+    f = File("", src)
+    return "\n".join(_folded(f, 0, len(src), "", False)) + "\n"
+
+
+def _folded(f: File, at: int, end: int, pad: str, member: bool) -> list[str]:
+    t, src, out = f.t, f.src, []
+    while at < end:
+        if t[at].isspace():
+            # comments are blank in the masked text: doc comments outside of impl blocks stay
+            line = src[at : (src.find("\n", at) + 1 or len(src)) - 1].strip() if src[at] == "/" else ""
+            if line.startswith(("///", "//!")) and not member:
+                out.append(pad + line)
+            if src.startswith("//", at):
+                at = src.find("\n", at) + 1 or end
+            elif src.startswith("/*", at):
+                at = max(at + 2, src.find("*/", at) + 2 or end)
+            else:
+                at += 1
+            continue
+        if t[at] == "#" and (o := t.find("[", at, at + 3)) >= 0:
+            b = _match(t, o)
+            out.append(pad + src[at:b])
+            at = b
+            continue
+        if x := re.compile(r"extern\s+crate\b[^;]*;").match(t, at, end):
+            out.append(pad + src[at : x.end()])
+            at = x.end()
+            continue
+        m = _ITEM.match(t, at, end)
+        if m:
+            kw, (o, b) = m["kw"], _body(t, m.end(), end)
+            if kw in ("const", "static"):
+                k = m.end()
+                while k < end and t[k] != ";":
+                    k = _match(t, k) if t[k] in "([{" else k + 1
+                b = k + 1
+                head, eq, _ = src[at:b].partition("=")
+                out.append(pad + (f"{head.rstrip()} = /* ... */;" if eq else head))
+            elif kw == "use":
+                b = (t.find(";", m.end(), end) + 1) or end
+                out.append(pad + src[at:b])
+            elif kw == "fn":
+                out.append(pad + src[at:o].rstrip() + (" { /* ... */ }" if o < end and t[o] == "{" else ";"))
+            elif kw == "impl":
+                out += [pad + src[at:o].rstrip() + " {", *_folded(f, o + 1, b - 1, pad + "    ", True), pad + "}"]
+            elif not member or kw == "type":
+                if kw == "type" or t[min(o, len(t) - 1)] != "{":
+                    b = (t.find(";", m.end(), end) + 1) or end
+                out.append(pad + src[at:b])
+            at = b
+            continue
+        x = re.compile(r"[A-Za-z_][\w:]*!\s*[A-Za-z_]*\s*([(\[{])").match(t, at, end)
+        if x:
+            b = _match(t, x.start(1))
+            b += t[b : b + 1] == ";"
+            if not member:
+                out.append(pad + (src[at:b] if len(src[at:b].encode()) < _SHORT_MACRO else src[at : x.start(1)] + "/* ... */"))
+            at = b
+            continue
+        w = re.compile(r"\w+").match(t, at, end)
+        at = _match(t, at) if t[at] in "([{" else w.end() if w else at + 1
+    return out
+
+
+def functions(src: str) -> list[dict]:
+    """(name, is_public, signature fields) of the functions of a source text, methods and defaults of traits included, nested ones not."""
+    f = File("", src)
+    inner = [(f.byte(o), f.byte(b)) for o, b, _ in f.fns]
+    own = [s for s in f.symbols if s["kind"] in ("function", "method") and not any(a < s["start_byte"] < b for a, b in inner)]
+    return [{"name": s["name"], "is_public": s["visibility"] != "private", **s["signature"]} for s in own]

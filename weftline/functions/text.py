@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 _PARTS = r"filter(split(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '$1 $2'), '^_[^_ ]+', ''), '[_ ]+'), x -> x <> '')"
 
 
+_INNER = "(_|[a-z][A-Z])"
+
+
+def _words_sql(text: str) -> str:
+    return f"array_remove(split({text}, '[^A-Za-z0-9_]+'), '')"
+
+
+def _split_sql(text: str) -> str:
+    tokens = f"if(w rlike '{_INNER}', transform(array({_PARTS}), p -> if(size(p) > 1, concat(p, array(w)), p))[0], array(w))"
+    return f"flatten(transform({_words_sql(text)}, w -> {tokens}))"
+
+
 def tokenize_sql(text: str) -> str:
     """SQL of the identifier tokens of a text: its words, split at _ and lower-to-upper, each followed by the whole if split.
 
     Only words with such a place need the expressions that split, and most texts have none.
     """
-    inner = "(_|[a-z][A-Z])"
-    words = f"array_remove(split({text}, '[^A-Za-z0-9_]+'), '')"
-    tokens = f"if(w rlike '{inner}', transform(array({_PARTS}), p -> if(size(p) > 1, concat(p, array(w)), p))[0], array(w))"
-    return f"if({text} rlike '{inner}', flatten(transform({words}, w -> {tokens})), {words})"
+    return f"if({text} rlike '{_INNER}', {_split_sql(text)}, {_words_sql(text)})"
 
 
 def tokenize(text: str) -> Column:
@@ -28,7 +37,8 @@ def tokenize(text: str) -> Column:
 
 def terms_sql(text: str) -> str:
     """Tokens in lower case, as the index keeps them."""
-    return f"transform({tokenize_sql(text)}, t -> lower(t))"
+    plain = f"array_remove(split(lower(regexp_replace({text}, '[^A-Za-z0-9_]+', ' ')), ' '), '')"
+    return f"if({text} rlike '{_INNER}', transform({_split_sql(text)}, t -> lower(t)), {plain})"
 
 
 def path_terms_sql(path: str) -> str:
@@ -71,6 +81,15 @@ def types_compatible(a: str, b: str) -> Column:
     return F.expr(f"contains({a}, {b}) or contains({b}, {a}) or {pair('string', 'str')} or {pair('vec', 'slice')}")
 
 
+def normalize_type_column(c: Column) -> Column:
+    return F.lower(F.replace(F.replace(F.replace(F.trim(c), F.lit(" "), F.lit("")), F.lit("&mut"), F.lit("&")), F.lit("&"), F.lit("")))
+
+
+def types_compatible_columns(a: Column, b: Column) -> Column:
+    pair = lambda x, y: (a.contains(x) & b.contains(y)) | (a.contains(y) & b.contains(x))
+    return a.contains(b) | b.contains(a) | pair("string", "str") | pair("vec", "slice")
+
+
 def type_name(t: str) -> Column:
     """Leading type name of a text, or null where it is empty or starts in lower case."""
     base = rf"regexp_extract(split(regexp_replace(regexp_replace(trim({t}), '^&+', ''), '^(mut )+', ''), '<')[0], '^\\s*(\\S+)', 1)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,14 +60,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
 
 
+def binary(v: str) -> Column:
+    """Signs of a float array as packed longs (dimension = 64 x longs; binary quantisation)."""
+    return F.expr(f"transform(sequence(0, (size({v}) - 1) div 64), b -> aggregate(sequence(0, 63), 0L, (s, k) -> if(coalesce(get({v}, b * 64 + k), 0) > 0, s | shiftleft(1L, k), s)))")
+
+
 def hamming(a: str, b: str) -> Column:
     """Differing bits of two arrays of packed longs (binary quantisation)."""
     return F.expr(f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
 
 
+@dataclass(frozen=True)
+class Config:
+    """What a hybrid search takes: how many of either side, how many stay, and how they are combined."""
+
+    semantic_top_k: int = 50
+    bm25_top_k: int = 50
+    final_top_k: int = 10
+    method: str = "rrf"
+    semantic_weight: float = 0.4
+    bm25_weight: float = 0.6
+    k: float = 60.0
+
+
+def hybrid(semantic: DataFrame, bm25: DataFrame, config: Config = Config()) -> DataFrame:
+    """Reciprocal-rank fusion, or weighted where the configuration says so."""
+    if config.method == "rrf":
+        return rrf(semantic, bm25, config.k, config.semantic_weight, config.bm25_weight, config.final_top_k)
+    if config.method == "weighted":
+        return weighted(semantic, bm25, config.semantic_weight, config.bm25_weight, config.final_top_k)
+    raise ValueError(f"unknown method {config.method}")
+
+
+def _one_query(df: DataFrame) -> DataFrame:
+    return df if "query_id" in df.columns else df.withColumn("query_id", F.lit(0))
+
+
+def _best(df: DataFrame, top: int, keep_query: bool) -> DataFrame:
+    """The best `top` of every query."""
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    out = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).drop("_k")
+    return out if keep_query else out.drop("query_id")
+
+
 def _ranked(df: DataFrame, name: str) -> DataFrame:
-    # both lists are top-k results, bounded by k
-    return df.select(F.col("id"), F.col("score").alias(f"{name}_score"), (F.row_number().over(W.orderBy(F.desc("score"), "id")) - 1).alias(f"{name}_rank"))
+    # lists are of a query each, so a window holds no more than one search gives
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return _one_query(df).select("query_id", "id", F.col("score").alias(f"{name}_score"), (F.row_number().over(w) - 1).alias(f"{name}_rank"))
 
 
 def _found(sem: str, bm: str) -> Column:
@@ -73,18 +114,20 @@ def _found(sem: str, bm: str) -> Column:
 
 
 def rrf(semantic: DataFrame, bm25: DataFrame, k: float = 60.0, w_sem: float = 0.4, w_bm: float = 0.6, top: int = 10) -> DataFrame:
-    """Reciprocal-rank fusion of two lists (id, score)."""
-    j = _ranked(semantic, "sem").join(_ranked(bm25, "bm"), "id", "full_outer")
+    """Reciprocal-rank fusion of two lists ([query_id,] id, score), for every query on its own."""
+    j = _ranked(semantic, "sem").join(_ranked(bm25, "bm"), ["query_id", "id"], "full_outer")
     part = lambda r, w: F.coalesce(w / (F.lit(k) + F.col(r) + 1), F.lit(0.0))
-    return j.select("id", (part("sem_rank", w_sem) + part("bm_rank", w_bm)).alias("score"), _found("sem_rank", "bm_rank").alias("found_by")).orderBy(F.desc("score"), "id").limit(top)
+    j = j.select("query_id", "id", (part("sem_rank", w_sem) + part("bm_rank", w_bm)).alias("score"), _found("sem_rank", "bm_rank").alias("found_by"))
+    return _best(j, top, "query_id" in semantic.columns)
 
 
 def weighted(semantic: DataFrame, bm25: DataFrame, w_sem: float = 0.4, w_bm: float = 0.6, top: int = 10) -> DataFrame:
-    """Weighted fusion; BM25 scores are divided by their maximum, 0 where that isn't positive."""
-    most = bm25.agg(F.max("score").alias("most"))
-    b = bm25.crossJoin(F.broadcast(most)).select("id", F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(0.0).alias("bm"))
-    j = semantic.select("id", F.col("score").alias("sem")).join(b, "id", "full_outer")
-    return j.select("id", (w_sem * F.coalesce("sem", F.lit(0.0)) + w_bm * F.coalesce("bm", F.lit(0.0))).alias("score"), _found("sem", "bm").alias("found_by")).orderBy(F.desc("score"), "id").limit(top)
+    """Weighted fusion; a query's BM25 scores are divided by their maximum, 0 where that isn't positive."""
+    most = F.max("score").over(W.partitionBy("query_id"))
+    b = _one_query(bm25).withColumn("most", most).select("query_id", "id", F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(0.0).alias("bm"))
+    j = _one_query(semantic).select("query_id", "id", F.col("score").alias("sem")).join(b, ["query_id", "id"], "full_outer")
+    j = j.select("query_id", "id", (w_sem * F.coalesce("sem", F.lit(0.0)) + w_bm * F.coalesce("bm", F.lit(0.0))).alias("score"), _found("sem", "bm").alias("found_by"))
+    return _best(j, top, "query_id" in semantic.columns)
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

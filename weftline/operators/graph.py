@@ -51,6 +51,26 @@ def find_by_name(symbols_raw: DataFrame, name: str) -> DataFrame:
     return symbols_raw.where(F.col("name") == name).select("scoped_name").join(kept, "scoped_name")
 
 
+def get_symbol(symbols_raw: DataFrame, scoped_name: str) -> DataFrame:
+    """The surviving row of a scoped name."""
+    return last_write_wins(symbols_raw.where(F.col("scoped_name") == scoped_name), ["scoped_name"], "seq")
+
+
+def symbol_report(symbols_raw: DataFrame, text: str, scoped: bool = False, limit: int = 20) -> DataFrame:
+    """What a symbol lookup prints: by name or by scoped name, at most `limit` rows in order of file and place."""
+    found = get_symbol(symbols_raw, text) if scoped else find_by_name(symbols_raw, text)
+    return found.orderBy("file", "start_byte", "scoped_name").limit(limit)
+
+
+def symbols_of_file(symbols: DataFrame, file: str) -> DataFrame:
+    return symbols.where(F.col("file") == file)
+
+
+def find_tests(symbols: DataFrame) -> DataFrame:
+    """Symbols named test_... or with an attribute that says test."""
+    return symbols.where(F.col("name").startswith("test_") | F.coalesce(F.exists("attributes", lambda a: a.contains("test")), F.lit(False)))
+
+
 def callers(edges: DataFrame, callee: str) -> DataFrame:
     return edges.where(F.col("callee_name") == callee)
 
@@ -59,6 +79,20 @@ def callees(edges: DataFrame, caller: str) -> DataFrame:
     return edges.where(F.col("caller") == caller)
 
 
+def callees_of_name(symbols_raw: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """The calls of every definition of a name; a definition that is there twice gives its calls twice."""
+    defs = symbols_raw.where(F.col("name") == name).select(F.col("scoped_name").alias("caller"))
+    return defs.join(edges, "caller")
+
+
+def call_graph(symbols_raw: DataFrame, edges: DataFrame, name: str, direction: str = "callers") -> DataFrame:
+    """(caller, callee_name, file, start_line) of the calls of a name or from it."""
+    if direction not in ("callers", "callees"):
+        raise ValueError(f"unknown direction {direction}")
+    found = callers(edges, name) if direction == "callers" else callees_of_name(symbols_raw, edges, name)
+    return found.select("caller", "callee_name", "file", "start_line")
+
+
 def resolve_callees(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """(name, scoped_name): for each name its first public definition, else its first."""
     best = symbols.groupBy("name").agg(F.min_by("scoped_name", F.struct((F.col("visibility") != "public").cast("int"), "seq")).alias("scoped_name"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analysis as A
-from ..operators import bm25, fusion, graph
+from ..operators import bm25, context, fusion, graph, topology
 from ..operators.index import current
 from ..session import materialize
+from ..sources import code
 
 FIELDS = ["path", "ident", "code"]
 WORDS = "the of and with"
@@ -131,29 +132,36 @@ def _dense(spark, d, k, queries="id = 0"):
 
 
 def cosine_topk(spark, d):
-    return _dense(spark, d, 20).select("id", F.round("score", 6).alias("score"))
-
-
-def all_cosine_topk(spark, d):
     """The 20 nearest of every row whose id is divisible by 50, among all rows."""
     return _dense(spark, d, 20, "id % 50 = 0").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+def binary_codes(spark, d):
+    """Vectors as sign bits, and how many differ from the first one's."""
+    v = _t(spark, d, "embeddings").select("vec_id", fusion.binary("embedding").alias("bits"))
+    one = v.where("vec_id = 0").select(F.col("bits").alias("q"))  # one row
+    return v.crossJoin(one).select("vec_id", fusion.hamming("bits", "q").cast("bigint").alias("distance"))
+
+
 def _lists(spark, d):
-    b = _search(spark, d, _one(spark, WORDS), 50).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
-    return materialize(_dense(spark, d, 50).select("id", "score"), "dense"), materialize(b, "bm25")
+    """Of every benchmark item whose id is divisible by 50 the 50 best documents by text, and the 50 nearest of the vector of that id."""
+    q = _t(spark, d, "benchmark").where("item_id % 50 = 0 and text is not null").select(F.col("item_id").alias("query_id"), "text")
+    b = _search(spark, d, q, 50).select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    qv = v.join(q, v.id == q.query_id).select("query_id", F.col("embedding").alias("qv"))
+    return materialize(fusion.nearest(v, qv, 50), "dense"), materialize(b, "bm25")
 
 
 def rrf_fusion(spark, d):
-    return fusion.rrf(*_lists(spark, d)).select("id", F.round("score", 8).alias("score"), "found_by")
+    return fusion.rrf(*_lists(spark, d)).select("query_id", "id", F.round("score", 8).alias("score"), "found_by")
 
 
 def weighted_fusion(spark, d):
-    return fusion.weighted(*_lists(spark, d)).select("id", F.round("score", 6).alias("score"), "found_by")
+    return fusion.hybrid(*_lists(spark, d), fusion.Config(method="weighted")).select("query_id", "id", F.round("score", 6).alias("score"), "found_by")
 
 
 def found_by_counts(spark, d):
-    return fusion.rrf(*_lists(spark, d), top=100).groupBy("found_by").agg(F.count("*").alias("n"))
+    return fusion.rrf(*_lists(spark, d), top=100).groupBy("query_id", "found_by").agg(F.count("*").alias("n"))
 
 
 def retrieval_metrics(spark, d):
@@ -200,15 +208,6 @@ def _symbols(spark, d):
 
 
 def _calls(spark, d):
-    """Of each order the first line calls, by name, the part of the second."""
-    li = _t(spark, d, "lineitem").where("l_linenumber in (1, 2)")
-    p = _t(spark, d, "part").select("p_partkey", "p_name")
-    a, b = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src")), li.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
-    e = a.join(b, "l_orderkey").where("src % 50 = 0").select("src", "dst").distinct()
-    return e.join(p, e.dst == p.p_partkey).select(F.concat(F.lit("p::"), "src").alias("caller"), F.col("p_name").alias("callee_name"))
-
-
-def _all_calls(spark, d):
     """The part of each line of an order calls, by name, that of the next line; no line and no caller is left out."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     e = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null").distinct()
@@ -217,10 +216,6 @@ def _all_calls(spark, d):
 
 
 _GRAPH = """sy AS (SELECT p_partkey AS seq, p_name AS name, 'p::' || p_partkey AS id, CASE WHEN p_size > 45 THEN 'const' ELSE 'function' END AS kind, p_size % 25 = 1 AS pub, p_type FROM part),
-e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 WHERE a.l_partkey % 50 = 0),
-ca AS (SELECT 'p::' || src AS caller, p_name AS callee FROM e JOIN part ON dst = p_partkey),
-g AS (SELECT DISTINCT caller AS src, sy.id AS dst FROM ca JOIN sy ON callee = sy.name)"""
-_WHOLE = _GRAPH.partition(",\n")[0] + """,
 e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL),
 ca AS (SELECT 'p::' || src AS caller, p_name AS callee FROM e JOIN part ON dst = p_partkey),
 g AS (SELECT DISTINCT caller AS src, 'name ' || callee AS dst FROM ca UNION ALL SELECT 'name ' || name, id FROM sy)"""
@@ -238,67 +233,55 @@ def callers(spark, d):
 
 
 def callees(spark, d):
-    c = _calls(spark, d)
-    return graph.callees(c, "p::50").select("caller", "callee_name")
+    return graph.callees(_calls(spark, d), "p::51").select("caller", "callee_name")
 
 
-def resolve_callee(spark, d):
-    return graph.resolve_callees(_calls(spark, d).select(F.col("callee_name").alias("name")), _symbols(spark, d))
+def callees_by_name(spark, d):
+    """The calls of every definition of a name."""
+    return graph.callees_of_name(_symbols(spark, d), _calls(spark, d), "small ring").select("caller", "callee_name")
 
 
-def entry_points(spark, d):
-    return A.entry_points(_symbols(spark, d)).select("scoped_name")
+def get_symbol(spark, d):
+    return graph.get_symbol(_symbols(spark, d), "p::51").select("scoped_name", "name", "kind", "visibility")
 
 
-def dead_symbols(spark, d):
-    return A.dead_symbols(_symbols(spark, d), _calls(spark, d)).select("scoped_name")
+def find_tests(spark, d):
+    s = _symbols(spark, d).withColumn("attributes", F.when(F.col("kind") == "const", F.array(F.lit("#[cfg(test)]"))))
+    return graph.find_tests(s.withColumn("name", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("test_"), "name")).otherwise(F.col("name")))).select("scoped_name")
 
 
-def potentially_live(spark, d):
-    return A.potentially_live(A.dead_symbols(_symbols(spark, d), _calls(spark, d))).select("scoped_name")
+def resolve_callee(spark, d):
+    return graph.resolve_callees(_calls(spark, d).select(F.col("callee_name").alias("name")), _symbols(spark, d))
 
 
-def reachability(spark, d):
+def entry_points(spark, d):
+    """Public ones, main, attributes that say test, and impl blocks, over variants of the parts that have each."""
     s = _symbols(spark, d)
-    e = _calls(spark, d).join(s.select("name", F.col("scoped_name").alias("dst")), F.col("callee_name") == F.col("name")).select(F.col("caller").alias("src"), "dst").distinct()
-    return graph.reachable(s.where("visibility = 'public'").select(F.col("scoped_name").alias("id")), e)
-
-
-def all_callers(spark, d):
-    return graph.callers(_all_calls(spark, d), "small ring").select("caller", "callee_name")
-
-
-def all_callees(spark, d):
-    return graph.callees(_all_calls(spark, d), "p::51").select("caller", "callee_name")
+    kind = F.when(F.col("seq") % 11 == 0, "impl").otherwise(F.col("kind"))
+    name = F.when(F.col("seq") % 13 == 0, "main").otherwise(F.col("name"))
+    return A.entry_points(s.withColumns({"kind": kind, "name": name, "attributes": F.when(F.col("seq") % 17 == 0, F.array(F.lit("#[test]"))).otherwise(F.col("attributes"))})).select("scoped_name")
 
 
-def all_resolve_callee(spark, d):
-    return graph.resolve_callees(_all_calls(spark, d).select(F.col("callee_name").alias("name")), _symbols(spark, d))
+def dead_symbols(spark, d):
+    return A.dead_symbols(_symbols(spark, d), _calls(spark, d)).select("scoped_name")
 
 
-def all_dead_symbols(spark, d):
-    return A.dead_symbols(_symbols(spark, d), _all_calls(spark, d)).select("scoped_name")
+def dead_report(spark, d):
+    """Number of dead symbols and the first 50 of them."""
+    n, first = A.dead_report(A.dead_symbols(_symbols(spark, d), _calls(spark, d)).select("scoped_name"))
+    return spark.createDataFrame([(n, r["scoped_name"]) for r in first], "dead_count bigint, scoped_name string")
 
 
-def all_potentially_live(spark, d):
-    return A.potentially_live(A.dead_symbols(_symbols(spark, d), _all_calls(spark, d))).select("scoped_name")
+def potentially_live(spark, d):
+    return A.potentially_live(A.dead_symbols(_symbols(spark, d), _calls(spark, d))).select("scoped_name")
 
 
-def all_reachability(spark, d):
+def reachability(spark, d):
     s = _symbols(spark, d)
-    return A.reached(s.where("visibility = 'public'"), s, _all_calls(spark, d))
+    return A.reached(s.where("visibility = 'public'"), s, _calls(spark, d))
 
 
 def pagerank(spark, d):
-    c, s = _t(spark, d, "customer"), _t(spark, d, "supplier")
-    n = _t(spark, d, "nation")
-    nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id")).unionByName(_t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id")))
-    pairs = c.groupBy(F.col("c_nationkey").alias("a"), (F.col("c_custkey") % 100 + 1).alias("k")).count().join(s.select("s_suppkey", F.col("s_nationkey").alias("b")), F.col("k") == F.col("s_suppkey")).select("a", "b").distinct()
-    edges = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst")).unionByName(pairs.select(F.concat(F.lit("n"), "a").alias("src"), F.concat(F.lit("n"), "b").alias("dst")))
-    return graph.pagerank(nodes, edges, max_iter=20, tol=0).select("id", F.round("score", 8).alias("score"))
-
-
-def trade_pagerank(spark, d):
     """Ranks customers, suppliers and nations: a customer points to the supplier of each line ordered, a supplier to its nation, a nation to its customers."""
     c, s, n = _t(spark, d, "customer"), _t(spark, d, "supplier"), _t(spark, d, "nation")
     node = lambda kind, key: F.concat(F.lit(kind), key)
@@ -309,11 +292,40 @@ def trade_pagerank(spark, d):
 
 
 def import_resolution(spark, d):
-    """First node (by name) whose name is part of each import path; nodes are the vocabulary of part names."""
-    p = _t(spark, d, "part").select("p_name").distinct()
-    words = p.select(F.explode(F.split("p_name", " ")).alias("node")).distinct()
-    # a substring that is a word of the vocabulary need not be a whole word of the path, hence the theta join; both sides are distinct names
-    return p.join(words, p.p_name.contains(words.node)).groupBy("p_name").agg(F.min("node").alias("node"))
+    """The first node whose name is part of each import path: paths are part names, nodes their words in order of the first part that has them."""
+    p = _t(spark, d, "part")
+    n = p.select(F.explode(F.split("p_name", " ")).alias("name"), "p_partkey").groupBy("name").agg(F.min("p_partkey").alias("first"))
+    nodes = n.select(F.col("name").alias("id"), F.lit("file").alias("node_type"), "name", F.struct("first", "name").alias("node_seq"))
+    return topology.import_edges(p.select(F.col("p_partkey").alias("file"), F.col("p_name").alias("path")), nodes).select(F.col("src").alias("p_partkey"), F.col("dst").alias("node"))
+
+
+def _tree(spark, d):
+    """A source tree: nations lie in folders of their regions, suppliers in those of their nations; a supplier imports the nation's name."""
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    home = F.concat(F.lit("src/r"), "r_regionkey", F.lit("/n"), "n_nationkey", F.lit("/"))
+    s = _t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    files = s.select(F.concat(home, F.lit("s"), "s_suppkey", F.lit(".rs")).alias("file")).unionByName(n.where("n_nationkey % 2 = 0").select(F.concat(home, F.lit("mod.rs")).alias("file"))).unionByName(n.select(F.concat(F.lit("src/r"), "r_regionkey", F.lit("/mod.rs")).alias("file"))).distinct()
+    imports = s.select(F.concat(home, F.lit("s"), "s_suppkey", F.lit(".rs")).alias("file"), F.concat(F.lit("crate::n"), "n_nationkey", F.lit("::x")).alias("path"))
+    return files, imports
+
+
+def containment(spark, d):
+    return topology.containment(_tree(spark, d)[0])
+
+
+def topology_modules(spark, d):
+    return topology.nodes(_tree(spark, d)[0], "trade").where("node_type = 'module'").select("id", "name")
+
+
+def topology_dependencies(spark, d):
+    """What each file of the tree imports, by containment and imports of the built graph."""
+    files, imports = _tree(spark, d)
+    return topology.import_edges(imports, topology.nodes(files, "trade"))
+
+
+def topology_rank(spark, d):
+    """The 20 nodes of highest rank in the graph of customers, suppliers and nations."""
+    return topology.top_nodes(pagerank(spark, d), 20)
 
 
 def file_imports_top5(spark, d):
@@ -328,15 +340,36 @@ def coverage_correlate(spark, d):
     return x.select("symbol", "lines_total", F.col("lines_covered").cast("bigint"), F.round("coverage", 6).alias("coverage"))
 
 
-_LLVM = '{"data":[{"files":[{"filename":"a.rs","segments":[{"line":10,"col":1,"count":5,"has_count":true,"is_region_entry":true},{"line":11,"col":1,"count":0,"has_count":true,"is_region_entry":true},{"line":12,"col":1,"count":3,"has_count":true,"is_region_entry":true},{"line":0,"col":1,"count":3,"has_count":true,"is_region_entry":true}]}]}]}'
+def coverage_branches(spark, d):
+    """Coverage of symbols with branches: lines from events, a branch for each of a line's events, taken by clicks."""
+    s = _t(spark, d, "orders").select(F.col("o_orderkey").alias("symbol"), F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 30 + 1).alias("start_line"), (F.col("o_orderkey") % 30 + 6).alias("end_line"))
+    e = _t(spark, d, "events").select(F.col("user_id").alias("file"), F.dayofmonth("ts").cast("bigint").alias("line"), "event_type")
+    b = e.groupBy("file", "line").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "click").alias("covered"))
+    x = A.correlate_coverage(s, e.where("event_type <> 'view'").withColumn("covered", F.col("event_type") != "error"), b)
+    return x.select("symbol", "lines_total", "lines_covered", "branches_total", "branches_covered", F.round("coverage", 6).alias("coverage"), F.round("branch_coverage", 6).alias("branch_coverage"))
+
+
+def _reports(spark, d):
+    """An LLVM report per order: its lines are segments, as objects in even orders and as arrays in odd ones; returned ones branches."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), (F.col("l_quantity") % 3).cast("bigint").alias("count"), (F.col("l_returnflag") != "A").alias("has"), (F.col("l_linestatus") == "F").alias("taken"))
+    seg = F.when(F.col("l_orderkey") % 2 == 0, F.to_json(F.struct("line", F.lit(1).alias("col"), "count", F.col("has").alias("has_count"), F.lit(True).alias("is_region_entry")))).otherwise(F.concat(F.lit("["), F.concat_ws(",", "line", F.lit(1), "count", "has", F.lit("true")), F.lit("]")))
+    br = F.to_json(F.struct("line", F.col("taken").alias("covered")))
+    g = li.groupBy("l_orderkey").agg(F.array_join(F.collect_list(seg), ",").alias("s"), F.array_join(F.collect_list(br), ",").alias("b"))  # the few lines of an order
+    return g.select(F.format_string('{"data":[{"files":[{"filename":"o%d","segments":[%s],"branches":[%s]}]}]}', "l_orderkey", "s", "b").alias("value"))
 
 
 def llvm_cov_lines(spark, d):
-    return A.llvm_lines(spark.createDataFrame([(_LLVM,)], "value string"))
+    return A.llvm_lines(_reports(spark, d))
+
+
+def llvm_cov_branches(spark, d):
+    return A.llvm_branches(_reports(spark, d))
 
 
 def tarpaulin_lines(spark, d):
-    return A.tarpaulin_lines(spark.createDataFrame([('{"files":{"k":{"path":"b.rs","covered":[1,2],"uncovered":[3]}}}',)], "value string"))
+    """A report per order: lines of status F are covered, the others not."""
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_linestatus") == "F", F.col("l_linenumber"))).alias("c"), F.collect_list(F.when(F.col("l_linestatus") != "F", F.col("l_linenumber"))).alias("u"))
+    return A.tarpaulin_lines(li.select(F.format_string('{"files":{"k":{"path":"o%d","covered":[%s],"uncovered":[%s]}}}', "l_orderkey", F.array_join("c", ","), F.array_join("u", ",")).alias("value")))
 
 
 def _commits(spark, d):
@@ -350,6 +383,12 @@ def churn_files(spark, d):
     return A.churn(c.crossJoin(F.broadcast(last)).where("ts > last - interval 7 days"))
 
 
+def changed_files(spark, d):
+    """Files changed within seven days of the last change."""
+    last = _commits(spark, d).agg(F.max("ts")).first()[0]
+    return A.changed_files(_commits(spark, d), F.lit(last) - F.expr("interval 7 days"))
+
+
 def churn_hotspots(spark, d):
     return A.hotspots(A.churn(_commits(spark, d))).select("path", "commits")
 
@@ -359,22 +398,133 @@ def naming_conflicts(spark, d):
     return A.naming_conflicts(s, "small rink").select("symbol", "severity", F.round("score", 6).alias("score"))
 
 
+def check_name(spark, d):
+    """A new name in the file of a brand: against its parts and what it imports."""
+    p = _t(spark, d, "part")
+    s = p.select(F.concat(F.lit("p::"), "p_partkey").alias("symbol"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"))
+    i = p.select(F.col("p_brand").alias("file"), F.concat(F.lit("use "), "p_partkey").alias("path"), F.col("p_name").alias("name"))
+    return A.check_name(s, i, "small ring", "Brand#11").select("symbol", "severity", F.round("score", 6).alias("score"))
+
+
 def duplication_scores(spark, d):
-    s = _t(spark, d, "part").select("p_partkey", "p_name")
-    return s.select("p_partkey", F.round(A.name_similarity(F.col("p_name"), F.lit("small rink")), 6).alias("score")).where("score > 0.3")
+    """Parts as functions: name, words of the type as parameters, brand as return type, against a proposed signature."""
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_name").alias("name"), F.split("p_type", " ").alias("params"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("return_type"))
+    return A.duplication(p, T.parse_signature("fn small rink(a: STANDARD, b: i32) -> Brand#1")).select("symbol", F.round("score", 6).alias("score"))
+
+
+def alternatives(spark, d):
+    """Parts of a name, and those whose names begin or end like it."""
+    s = _t(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("symbol"))
+    return A.alternatives(s, "small", cap=1000).select("symbol", "severity", F.round("score", 6).alias("score"))
+
+
+# -- source text: files made of table rows, so that what the scanners find is known from the table -----
+
+
+def _rust_files(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_size")
+    src = """use crate::m%d::{Item, other as o};
+/// Part
+#[inline]
+pub fn f%d(x: u8) -> u8 { let s = "g(1)"; g%d(x) }
+struct S%d { a: u8 }
+impl S%d { fn go(&self) -> u8 { self.step(helper%d()) } }
+const C: u8 = 1;
+"""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    return p.select(F.format_string("src/p%d.rs", k).alias("file"), F.lit("rs").alias("ext"), F.format_string(src, k, k, z, k, k, z).alias("content"), F.lit("").alias("workspace"))
+
+
+def rust_symbols(spark, d):
+    return code.symbols(_rust_files(spark, d)).select("file", "scoped_name", "kind", "visibility", "start_line", F.coalesce("doc_comment", F.lit("")).alias("doc_comment"))
+
+
+def rust_calls(spark, d):
+    return code.calls(_rust_files(spark, d)).select("file", "caller", "callee_name", "is_method_call", "start_line")
+
+
+def rust_imports(spark, d):
+    return code.imports(_rust_files(spark, d)).select("file", "path", "name", "is_glob")
+
+
+def rust_functions(spark, d):
+    return code.functions(_rust_files(spark, d)).select("file", "name", "is_public", F.array_join("params", ", ").alias("params"), "return_type")
+
+
+def fold_signatures(spark, d):
+    return code.folded(_rust_files(spark, d))
+
+
+def _ts_files(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    src = """import { a%d, b } from "./n%d";
+export class C%d { run(x: number): void { this.go(x); obj["foo-bar"](); } }
+const f%d = (y: number) => g%d(y);
+function h() { return "k()"; }
+"""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    return c.select(F.format_string("pkg%d/src/c%d.ts", n, k).alias("file"), F.lit("ts").alias("ext"), F.format_string(src, k, n, k, k, n).alias("content"), F.format_string("pkg%d", n).alias("workspace"))
+
+
+def ts_symbols(spark, d):
+    return code.symbols(_ts_files(spark, d)).select("file", "scoped_name", "kind", "visibility", "start_line")
 
 
-QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, all_cosine_topk, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, callers, callees, resolve_callee, entry_points, dead_symbols, potentially_live, reachability, all_callers, all_callees, all_resolve_callee, all_dead_symbols, all_potentially_live, all_reachability, pagerank, trade_pagerank, import_resolution, file_imports_top5, coverage_correlate, llvm_cov_lines, tarpaulin_lines, churn_files, churn_hotspots, naming_conflicts, duplication_scores)}
+def ts_calls(spark, d):
+    return code.calls(_ts_files(spark, d)).select("file", "caller", "callee_name", "is_method_call")
+
+
+def ts_imports(spark, d):
+    return code.imports(_ts_files(spark, d)).select("file", "path", "name", "is_glob")
+
+
+def workspace_roots(spark, d):
+    """The workspace of every file: nations have a marker of their own, even ones deeper too."""
+    n = _t(spark, d, "nation")
+    marks = n.select(F.format_string("pkg%d/package.json", "n_nationkey").alias("file")).unionByName(n.where("n_nationkey % 2 = 0").select(F.format_string("pkg%d/src/tsconfig.json", "n_nationkey").alias("file")))
+    return code.with_workspace(_ts_files(spark, d).select("file"), marks)
+
+
+def search_documents(spark, d):
+    """Indexed text and preview of the definitions of the Rust files."""
+    return code.search_docs(code.symbols(_rust_files(spark, d))).select("file", "symbol", "line", "text", "preview")
+
+
+def context_chunks(spark, d):
+    """The text of every definition, cut from its file by lines."""
+    f = _rust_files(spark, d)
+    return context.symbol_chunks(f, code.symbols(f).where("kind <> 'const'")).select("symbol", "file", "text")
+
+
+def context_candidates(spark, d):
+    """What belongs to the function at line 4 of one file: itself, what it calls, who calls it."""
+    f = _rust_files(spark, d)
+    s = code.symbols(f)
+    ranks = f.select("file", F.lit(0.5).alias("pagerank"))
+    x = context.candidates(s, code.calls(f), code.imports(f), ranks, context.symbol_at(s, "src/p51.rs", 4))
+    return x.select("symbol", F.col("base_score").cast("double").alias("base_score"), "reason")
+
+
+QUERIES = {f.__name__: f for f in (tokenize_documents, path_tokens, extract_identifiers, string_literals, preview_truncate, bm25_postings, bm25_stats, bm25_search, bm25_multi_query, query_filters, search_overfetch_cut, cosine_topk, binary_codes, rrf_fusion, weighted_fusion, found_by_counts, retrieval_metrics, incremental_diff, index_report, prune_docs, last_write_wins, find_by_name, get_symbol, find_tests, callers, callees, callees_by_name, resolve_callee, entry_points, dead_symbols, dead_report, potentially_live, reachability, pagerank, import_resolution, containment, topology_modules, topology_dependencies, topology_rank, file_imports_top5, coverage_correlate, coverage_branches, llvm_cov_lines, llvm_cov_branches, tarpaulin_lines, changed_files, churn_files, churn_hotspots, naming_conflicts, check_name, duplication_scores, alternatives, rust_symbols, rust_calls, rust_imports, rust_functions, fold_signatures, ts_symbols, ts_calls, ts_imports, workspace_roots, search_documents, context_chunks, context_candidates)}
 
 _Q1 = f"SELECT 0 AS query_id, '{WORDS}' AS text"
-_LISTS = f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), qv AS (SELECT e AS q FROM v WHERE id = 0),
-sem AS (SELECT id, list_cosine_similarity(e, q) AS score FROM v, qv ORDER BY score DESC, id LIMIT 50),
-bm AS (SELECT doc_id AS id, round(score, 9) AS score FROM r WHERE rank <= 50),
-sr AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM sem), br AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM bm),
-fu AS (SELECT coalesce(sr.id, br.id) AS id, coalesce(0.4 / (60.0 + sr.k), 0) + coalesce(0.6 / (60.0 + br.k), 0) AS rrf, 0.4 * coalesce(sr.score, 0) + 0.6 * coalesce(br.score / (SELECT max(score) FROM bm), 0) AS wt,
- CASE WHEN sr.id IS NOT NULL AND br.id IS NOT NULL THEN 'both' WHEN sr.id IS NOT NULL THEN 'semantic_only' ELSE 'bm25_only' END AS found_by FROM sr FULL JOIN br ON sr.id = br.id)"""
+_QL = "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 50 = 0 AND text IS NOT NULL"
+_LISTS = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), qv AS (SELECT id AS query_id, e AS q FROM v WHERE id IN (SELECT query_id FROM q)),
+sem AS (SELECT query_id, id, round(list_cosine_similarity(e, q), 12) AS score FROM v, qv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+bm AS (SELECT query_id, doc_id AS id, round(score, 9) AS score FROM r WHERE rank <= 50),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM sem), br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k, max(score) OVER (PARTITION BY query_id) AS most FROM bm),
+fu AS (SELECT coalesce(sr.query_id, br.query_id) AS query_id, coalesce(sr.id, br.id) AS id, coalesce(0.4 / (60.0 + sr.k), 0) + coalesce(0.6 / (60.0 + br.k), 0) AS rrf, 0.4 * coalesce(sr.score, 0) + 0.6 * coalesce(br.score / most, 0) AS wt,
+ CASE WHEN sr.id IS NOT NULL AND br.id IS NOT NULL THEN 'both' WHEN sr.id IS NOT NULL THEN 'semantic_only' ELSE 'bm25_only' END AS found_by FROM sr FULL JOIN br ON sr.id = br.id AND sr.query_id = br.query_id)"""
+_TREE = """n AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey), s AS (SELECT 'src/r' || r_regionkey || '/n' || n_nationkey || '/s' || s_suppkey || '.rs' AS file, r_regionkey AS r, n_nationkey AS n, s_suppkey AS k FROM supplier JOIN n ON s_nationkey = n_nationkey)"""
 _SEV = "levenshtein(p_name, 'small rink')"
 
+_PAGERANK = """WITH RECURSIVE no AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || n_nationkey FROM nation),
+e AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM no),
+pr AS (SELECT id, 1.0::DOUBLE / n AS s, 0 AS i FROM no, c UNION ALL
+ SELECT no.id, (0.15 / n + 0.85 * coalesce(x.g, 0))::DOUBLE, k.i + 1 FROM no CROSS JOIN c CROSS JOIN (SELECT max(i) AS i FROM pr) k LEFT JOIN (SELECT e.dst, sum(pr.s / deg.d) AS g FROM e JOIN deg ON deg.src = e.src JOIN pr ON pr.id = e.src GROUP BY e.dst) x ON x.dst = no.id WHERE k.i < 20)
+SELECT id, round(s, 10) AS score FROM pr WHERE i = 20"""
+
 ORACLE_SQL = {
     "tokenize_documents": f"SELECT lower(tok) AS term, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM (SELECT unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT {_tok('text')} AS t FROM documents)) GROUP BY 1",
     "path_tokens": f"SELECT page_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS term FROM (SELECT page_id, {_path(chr(39).join(['regexp_replace(url, ', '^[a-z]+://', ', ', '', ')']))} AS t FROM pages)",
@@ -387,11 +537,11 @@ ORACLE_SQL = {
     "bm25_multi_query": _bm("SELECT item_id AS query_id, text FROM benchmark WHERE text IS NOT NULL", "SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"),
     "query_filters": _bm(_Q1, "SELECT doc_id, file, round(score, 4) AS score FROM r WHERE rank <= 50 AND file LIKE '%.en' AND NOT contains(file, 'src1') ORDER BY rank LIMIT 10"),
     "search_overfetch_cut": _bm(_Q1, "SELECT doc_id, file, round(score, 4) AS score FROM r WHERE rank <= 15 AND contains(file, 'src7/') ORDER BY rank LIMIT 3"),
-    "cosine_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) SELECT id, round(list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)), 6) AS score FROM v ORDER BY list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)) DESC, id LIMIT 20",
-    "all_cosine_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 12) AS score FROM v JOIN v AS q ON q.id % 50 = 0) SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20",
-    "rrf_fusion": _bm(_Q1, f", {_LISTS} SELECT id, round(rrf, 8) AS score, found_by FROM fu ORDER BY rrf DESC, id LIMIT 10"),
-    "weighted_fusion": _bm(_Q1, f", {_LISTS} SELECT id, round(wt, 6) AS score, found_by FROM fu ORDER BY wt DESC, id LIMIT 10"),
-    "found_by_counts": _bm(_Q1, f", {_LISTS} SELECT found_by, count(*) AS n FROM fu GROUP BY 1"),
+    "cosine_topk": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.e, q.e), 12) AS score FROM v JOIN v AS q ON q.id % 50 = 0) SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20",
+    "binary_codes": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings) SELECT vec_id, CAST(list_sum(list_transform(list_zip(b, (SELECT b FROM v WHERE vec_id = 0)), lambda z: CAST(z[1] <> z[2] AS INT))) AS BIGINT) AS distance FROM v",
+    "rrf_fusion": _bm(_QL, f", {_LISTS} SELECT query_id, id, round(rrf, 8) AS score, found_by FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) <= 10"),
+    "weighted_fusion": _bm(_QL, f", {_LISTS} SELECT query_id, id, round(wt, 6) AS score, found_by FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY wt DESC, id) <= 10"),
+    "found_by_counts": _bm(_QL, f", {_LISTS} SELECT query_id, found_by, count(*) AS n FROM fu GROUP BY ALL"),
     "retrieval_metrics": _bm(_Q1, """, h AS (SELECT rank, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS rel FROM r WHERE rank <= 50),
 k AS (SELECT count(DISTINCT doc_id) AS nrel FROM labels WHERE quality = 1), m AS (SELECT least((SELECT nrel FROM k), count(*)) AS ideal FROM h)
 SELECT round(sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) / 10.0, 6)::DOUBLE AS precision, round(sum(rel) / (SELECT nrel FROM k), 6)::DOUBLE AS recall, round(1.0 / min(CASE WHEN rel = 1 THEN rank END), 6)::DOUBLE AS mrr,
@@ -402,37 +552,67 @@ round(sum(rel / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM m, range(1,
     "last_write_wins": "SELECT role, turn, conv_id, text FROM (SELECT conv_id, turn, role, min(text) AS text FROM conversations GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY role, turn ORDER BY conv_id DESC) = 1",
     "find_by_name": f"WITH {_GRAPH}, raw AS (SELECT id, name, seq FROM sy UNION ALL SELECT id, name, seq + 1000000000 FROM sy WHERE seq % 3 = 0), k AS (SELECT id, max(seq) AS seq FROM raw GROUP BY id) SELECT raw.id AS scoped_name, k.seq FROM raw JOIN k USING (id) WHERE name = 'small ring'",
     "callers": f"WITH {_GRAPH} SELECT caller, callee AS callee_name FROM ca WHERE callee = 'small ring'",
-    "callees": f"WITH {_GRAPH} SELECT caller, callee AS callee_name FROM ca WHERE caller = 'p::50'",
+    "callees": f"WITH {_GRAPH} SELECT caller, callee AS callee_name FROM ca WHERE caller = 'p::51'",
+    "callees_by_name": f"WITH {_GRAPH} SELECT caller, callee AS callee_name FROM ca JOIN sy ON caller = id WHERE name = 'small ring'",
+    "get_symbol": f"WITH {_GRAPH} SELECT id AS scoped_name, name, kind, CASE WHEN pub THEN 'public' ELSE 'private' END AS visibility FROM sy WHERE id = 'p::51'",
+    "find_tests": f"WITH {_GRAPH} SELECT id AS scoped_name FROM sy WHERE kind = 'const' OR seq % 7 = 0",
     "resolve_callee": f"WITH {_GRAPH} SELECT name, id AS scoped_name FROM sy WHERE name IN (SELECT callee FROM ca) QUALIFY row_number() OVER (PARTITION BY name ORDER BY pub DESC, seq) = 1",
-    "entry_points": f"WITH {_GRAPH} SELECT id AS scoped_name FROM sy WHERE pub",
+    "entry_points": f"WITH {_GRAPH} SELECT id AS scoped_name FROM sy WHERE pub OR seq % 11 = 0 OR seq % 17 = 0 OR (seq % 13 = 0 AND kind = 'function')",
     "dead_symbols": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live)",
     "potentially_live": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live) AND (kind = 'const' OR regexp_matches(p_type, 'derive|macro|no_mangle|export_name|link_name|used'))",
-    "reachability": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id FROM live",
-    "all_callers": f"WITH {_WHOLE} SELECT caller, callee AS callee_name FROM ca WHERE callee = 'small ring'",
-    "all_callees": f"WITH {_WHOLE} SELECT caller, callee AS callee_name FROM ca WHERE caller = 'p::51'",
-    "all_resolve_callee": f"WITH {_WHOLE} SELECT name, id AS scoped_name FROM sy WHERE name IN (SELECT callee FROM ca) QUALIFY row_number() OVER (PARTITION BY name ORDER BY pub DESC, seq) = 1",
-    "all_dead_symbols": f"WITH RECURSIVE {_WHOLE}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live)",
-    "all_potentially_live": f"WITH RECURSIVE {_WHOLE}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live) AND (kind = 'const' OR regexp_matches(p_type, 'derive|macro|no_mangle|export_name|link_name|used'))",
-    "all_reachability": f"WITH RECURSIVE {_WHOLE}, {_LIVE} SELECT id FROM live WHERE id IN (SELECT id FROM sy)",
-    "pagerank": """WITH RECURSIVE no AS (SELECT 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
-e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT DISTINCT 'n' || c_nationkey, 'n' || s_nationkey FROM customer JOIN supplier ON c_custkey % 100 + 1 = s_suppkey),
-deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM no),
-pr AS (SELECT id, 1.0::DOUBLE / n AS s, 0 AS i FROM no, c UNION ALL
- SELECT x.id, (0.15 / n + 0.85 * coalesce(sum(pr.s / deg.d), 0))::DOUBLE, max(x.i) + 1 FROM (SELECT DISTINCT no.id, pr.i FROM no, pr WHERE pr.i < 20) x CROSS JOIN c LEFT JOIN e ON e.dst = x.id LEFT JOIN deg ON deg.src = e.src LEFT JOIN pr ON pr.id = e.src GROUP BY x.id, n)
-SELECT id, round(s, 8) AS score FROM pr WHERE i = 20""",
-    "trade_pagerank": """WITH RECURSIVE no AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || n_nationkey FROM nation),
-e AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
-deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), c AS (SELECT count(*) AS n FROM no),
-pr AS (SELECT id, 1.0::DOUBLE / n AS s, 0 AS i FROM no, c UNION ALL
- SELECT no.id, (0.15 / n + 0.85 * coalesce(x.g, 0))::DOUBLE, k.i + 1 FROM no CROSS JOIN c CROSS JOIN (SELECT max(i) AS i FROM pr) k LEFT JOIN (SELECT e.dst, sum(pr.s / deg.d) AS g FROM e JOIN deg ON deg.src = e.src JOIN pr ON pr.id = e.src GROUP BY e.dst) x ON x.dst = no.id WHERE k.i < 20)
-SELECT id, round(s, 10) AS score FROM pr WHERE i = 20""",
-    "import_resolution": "WITH p AS (SELECT DISTINCT p_name FROM part), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS node FROM p) SELECT p_name, min(node) AS node FROM p JOIN w ON contains(p_name, node) GROUP BY p_name",
+    "dead_report": f"WITH RECURSIVE {_GRAPH}, {_LIVE}, dd AS (SELECT id FROM sy WHERE id NOT IN (SELECT id FROM live)) SELECT (SELECT count(*) FROM dd) AS dead_count, id AS scoped_name FROM dd ORDER BY id LIMIT 50",
+    "reachability": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id FROM live WHERE id IN (SELECT id FROM sy)",
+    "pagerank": _PAGERANK,
+    "topology_rank": f"SELECT id, format('{{:.4f}}', score) AS score FROM ({_PAGERANK}) ORDER BY round(score, 10) DESC, id LIMIT 20",
+    "import_resolution": "WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS node, p_partkey AS k FROM part), n AS (SELECT node, min(k) AS first FROM w GROUP BY node) SELECT p_partkey, node FROM part JOIN n ON contains(p_name, node) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY first, node) = 1",
+    "containment": f"""WITH {_TREE}, f AS (SELECT file, CASE WHEN n % 2 = 0 THEN 'module:src/r' || r || '/n' || n ELSE 'module:src/r' || r END AS parent FROM s
+UNION ALL SELECT 'src/r' || r_regionkey || '/n' || n_nationkey || '/mod.rs', 'module:src/r' || r_regionkey || '/n' || n_nationkey FROM n WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'module:src/r' || r_regionkey || '/n' || n_nationkey, 'module:src/r' || r_regionkey FROM n WHERE n_nationkey % 2 = 0
+UNION ALL SELECT DISTINCT 'src/r' || r_regionkey || '/mod.rs', 'module:src/r' || r_regionkey FROM n UNION ALL SELECT DISTINCT 'module:src/r' || r_regionkey, 'root' FROM n) SELECT parent, file AS child FROM f""",
+    "topology_modules": f"WITH {_TREE} SELECT 'module:src/r' || r_regionkey || '/n' || n_nationkey AS id, 'n' || n_nationkey AS name FROM n WHERE n_nationkey % 2 = 0 UNION ALL SELECT DISTINCT 'module:src/r' || r_regionkey, 'r' || r_regionkey FROM n",
+    "topology_dependencies": f"""WITH {_TREE}, fs AS (SELECT file FROM s UNION SELECT 'src/r' || r_regionkey || '/n' || n_nationkey || '/mod.rs' FROM n WHERE n_nationkey % 2 = 0 UNION SELECT 'src/r' || r_regionkey || '/mod.rs' FROM n),
+nd AS (SELECT 'root' AS id, 'trade' AS name, '' AS a, 0 AS b, 0 AS c UNION ALL SELECT file, regexp_extract(file, '([^/]*)\\.rs$', 1), file, 0, 0 FROM fs
+UNION ALL SELECT 'module:' || dir, regexp_extract(dir, '([^/]*)$', 1), (SELECT min(file) FROM fs WHERE starts_with(file, dir || '/')), 1, -len(string_split(dir, '/')) FROM (SELECT replace(file, '/mod.rs', '') AS dir FROM fs WHERE file LIKE '%/mod.rs')),
+im AS (SELECT file, 'crate::n' || n || '::x' AS path FROM s) SELECT file AS src, id AS dst FROM im JOIN nd ON CASE WHEN id = 'root' THEN starts_with(path, name) ELSE contains(path, name) END QUALIFY row_number() OVER (PARTITION BY file, path ORDER BY a, b, c) = 1""",
     "file_imports_top5": "SELECT l_orderkey, l_partkey, row_number() OVER w AS position, greatest(count(*) OVER (PARTITION BY l_orderkey) - 5, 0) AS more FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) QUALIFY row_number() OVER w <= 5",
     "coverage_correlate": "WITH l AS (SELECT user_id AS file, day(ts) AS line, max(CAST(event_type <> 'error' AS INT)) AS c FROM events GROUP BY 1, 2) SELECT o_orderkey AS symbol, count(*) AS lines_total, CAST(sum(c) AS BIGINT) AS lines_covered, round(sum(c) / count(*), 6) AS coverage FROM orders JOIN l ON o_custkey = file AND line BETWEEN o_orderkey % 30 + 1 AND o_orderkey % 30 + 6 GROUP BY o_orderkey",
-    "llvm_cov_lines": "SELECT * FROM (VALUES ('a.rs', 10::BIGINT, true), ('a.rs', 11, false), ('a.rs', 12, true)) t(file, line, covered)",
-    "tarpaulin_lines": "SELECT * FROM (VALUES ('b.rs', 1::BIGINT, true), ('b.rs', 2, true), ('b.rs', 3, false)) t(file, line, covered)",
+    "coverage_branches": """WITH e AS (SELECT user_id AS file, day(ts) AS line, max(CASE WHEN event_type <> 'view' THEN CAST(event_type <> 'error' AS INT) END) AS c, count(*) AS bt, count(*) FILTER (event_type = 'click') AS bc FROM events GROUP BY 1, 2)
+SELECT o_orderkey AS symbol, count(c) AS lines_total, CAST(coalesce(sum(c), 0) AS BIGINT) AS lines_covered, CAST(sum(bt) AS BIGINT) AS branches_total, CAST(sum(bc) AS BIGINT) AS branches_covered, round(CASE WHEN count(c) = 0 THEN 0 ELSE coalesce(sum(c), 0) / count(c) END, 6)::DOUBLE AS coverage, round(sum(bc) / sum(bt), 6) AS branch_coverage FROM orders JOIN e ON o_custkey = file AND line BETWEEN o_orderkey % 30 + 1 AND o_orderkey % 30 + 6 GROUP BY o_orderkey""",
+    "llvm_cov_lines": "SELECT 'o' || l_orderkey AS file, CAST(l_linenumber - 1 AS BIGINT) AS line, max(CAST(l_quantity % 3 AS BIGINT)) > 0 AS covered FROM lineitem WHERE l_linenumber > 1 AND l_returnflag <> 'A' GROUP BY 1, 2",
+    "llvm_cov_branches": "SELECT 'o' || l_orderkey AS file, CAST(l_linenumber - 1 AS BIGINT) AS line, CAST(sum(CAST(l_linestatus = 'F' AS INT)) AS BIGINT) AS covered, count(*) AS total FROM lineitem WHERE l_linenumber > 1 GROUP BY 1, 2",
+    "tarpaulin_lines": "SELECT 'o' || l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS line, l_linestatus = 'F' AS covered FROM lineitem",
+    "changed_files": "SELECT DISTINCT user_id AS path FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
     "churn_files": "SELECT user_id AS path, count(*) AS commits, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS authors, CAST(coalesce(sum(CASE WHEN event_type <> 'error' THEN floor(value) END), 0) AS BIGINT) AS lines_added, count(*) AS lines_removed, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_modified FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1",
     "churn_hotspots": "SELECT user_id AS path, count(*) AS commits FROM events GROUP BY 1 HAVING count(*) > 3",
     "naming_conflicts": f"SELECT p_partkey AS symbol, 'warning' AS severity, round(1 - {_SEV} / greatest(strlen(p_name), 10), 6) AS score FROM part WHERE p_name <> 'small rink' AND {_SEV} <= 2 UNION ALL SELECT p_partkey, 'block', 1.0 FROM part WHERE p_name = 'small rink' UNION ALL SELECT p_partkey, 'warning', 0.95 FROM part WHERE p_name <> 'small rink' AND lower(p_name) = 'small rink'",
-    "duplication_scores": f"SELECT p_partkey, round(1 - {_SEV} / greatest(strlen(p_name), 10), 6) AS score FROM part WHERE round(1 - {_SEV} / greatest(strlen(p_name), 10), 6) > 0.3",
+    "check_name": """WITH p AS (SELECT * FROM part WHERE p_brand = 'Brand#11'), l AS (SELECT *, levenshtein(p_name, 'small ring') AS v FROM p)
+SELECT 'p::' || p_partkey AS symbol, 'block' AS severity, 1.0::DOUBLE AS score FROM l WHERE v = 0 UNION ALL SELECT 'p::' || p_partkey, 'warning', round(1 - v / greatest(strlen(p_name), 10), 6)::DOUBLE FROM l WHERE v BETWEEN 1 AND 2 UNION ALL SELECT 'p::' || p_partkey, 'warning', 0.95 FROM l WHERE v > 0 AND lower(p_name) = 'small ring' UNION ALL SELECT 'use ' || p_partkey, 'warning', 1.0 FROM l WHERE v = 0""",
+    "duplication_scores": f"""WITH t AS (SELECT p_partkey, p_name, list_transform(string_split(p_type, ' '), lambda x: lower(x)) AS ps, CASE WHEN p_size > 10 THEN lower(p_brand) END AS r FROM part),
+u AS (SELECT *, CAST(contains(ps[1], 'standard') OR contains('standard', ps[1]) AS INT) + CAST(len(ps) > 1 AND (contains(ps[2], 'i32') OR contains('i32', ps[2])) AS INT) AS hits, CASE abs(len(ps) - 2) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.3 / abs(len(ps) - 2) END AS cnt FROM t),
+x AS (SELECT p_partkey AS symbol, 0.4 * (1 - {_SEV} / greatest(strlen(p_name), 10)) + 0.2 * cnt + 0.25 * hits / greatest(len(ps), 2) + 0.15 * CASE WHEN r IS NULL THEN 0.5 WHEN contains(r, 'brand#1') OR contains('brand#1', r) THEN 1.0 ELSE 0.3 END AS score FROM u)
+SELECT symbol, round(score, 6)::DOUBLE AS score FROM x WHERE score > 0.3""",
+    "alternatives": """WITH s AS (SELECT p_name AS name, min(p_partkey) AS symbol FROM part GROUP BY 1) SELECT symbol, 'warning' AS severity, 1.0::DOUBLE AS score FROM s WHERE name = 'small' UNION ALL
+SELECT symbol, 'info', round(jaro_winkler_similarity(lower(name), 'small'), 6) FROM s WHERE name <> 'small' AND (starts_with(lower(name), 'small') OR ends_with(lower(name), 'small') OR starts_with('small', lower(name)) OR ends_with('small', lower(name))) AND jaro_winkler_similarity(lower(name), 'small') > 0.7""",
+    "rust_symbols": """SELECT 'src/p' || p_partkey || '.rs' AS file, x.n AS scoped_name, x.k AS kind, x.v AS visibility, CAST(x.l AS BIGINT) AS start_line, x.d AS doc_comment FROM (SELECT p_partkey, unnest([
+ {n: 'crate::f' || p_partkey, k: 'function', v: 'public', l: 3, d: '/// Part'}, {n: 'crate::S' || p_partkey, k: 'struct', v: 'private', l: 4, d: ''}, {n: 'crate::S' || p_partkey, k: 'impl', v: 'private', l: 5, d: ''},
+ {n: 'crate::S' || p_partkey || '::go', k: 'method', v: 'private', l: 5, d: ''}, {n: 'crate::C', k: 'const', v: 'private', l: 6, d: ''}]) AS x FROM part)""",
+    "rust_calls": """SELECT 'src/p' || p_partkey || '.rs' AS file, x.a AS caller, x.b AS callee_name, x.m AS is_method_call, CAST(x.l AS BIGINT) AS start_line FROM (SELECT p_partkey, unnest([{a: 'crate::f' || p_partkey, b: 'g' || p_size, m: false, l: 3},
+ {a: 'crate::S' || p_partkey || '::go', b: 'step', m: true, l: 5}, {a: 'crate::S' || p_partkey || '::go', b: 'helper' || p_size, m: false, l: 5}]) AS x FROM part)""",
+    "rust_imports": "SELECT 'src/p' || p_partkey || '.rs' AS file, x.p AS path, x.n AS name, false AS is_glob FROM (SELECT p_partkey, unnest([{p: 'crate::m' || p_partkey || '::Item', n: 'Item'}, {p: 'crate::m' || p_partkey || '::other', n: 'o'}]) AS x FROM part)",
+    "rust_functions": "SELECT 'src/p' || p_partkey || '.rs' AS file, 'f' || p_partkey AS name, true AS is_public, 'x: u8' AS params, 'u8' AS return_type FROM part UNION ALL SELECT 'src/p' || p_partkey || '.rs', 'go', false, '&self', 'u8' FROM part",
+    "fold_signatures": "SELECT 'src/p' || p_partkey || '.rs' AS file, concat('use crate::m', p_partkey, '::{Item, other as o};', chr(10), '/// Part', chr(10), '#[inline]', chr(10), 'pub fn f', p_partkey, '(x: u8) -> u8 { /* ... */ }', chr(10), 'struct S', p_partkey, ' { a: u8 }', chr(10), 'impl S', p_partkey, ' {', chr(10), '    fn go(&self) -> u8 { /* ... */ }', chr(10), '}', chr(10), 'const C: u8 = /* ... */;', chr(10)) AS text FROM part",
+    "ts_symbols": """SELECT 'pkg' || n || '/src/c' || k || '.ts' AS file, 'file:src/c' || k || '.ts::' || x.s AS scoped_name, x.t AS kind, 'private' AS visibility, CAST(x.l AS BIGINT) AS start_line FROM (SELECT c_custkey AS k, c_nationkey AS n, unnest([{s: 'C' || c_custkey, t: 'struct', l: 1}, {s: 'C' || c_custkey || '::run', t: 'method', l: 1},
+ {s: 'f' || c_custkey, t: 'function', l: 2}, {s: 'h', t: 'function', l: 3}]) AS x FROM customer)""",
+    "ts_calls": """SELECT 'pkg' || n || '/src/c' || k || '.ts' AS file, 'file:src/c' || k || '.ts::' || x.a AS caller, x.b AS callee_name, x.m AS is_method_call FROM (SELECT c_custkey AS k, c_nationkey AS n, unnest([{a: 'C' || c_custkey || '::run', b: 'go', m: true}, {a: 'C' || c_custkey || '::run', b: 'foo-bar', m: true},
+ {a: 'f' || c_custkey, b: 'g' || c_nationkey, m: false}]) AS x FROM customer)""",
+    "ts_imports": "SELECT 'pkg' || c_nationkey || '/src/c' || c_custkey || '.ts' AS file, './n' || c_nationkey AS path, 'a' || c_custkey AS name, false AS is_glob FROM customer",
+    "workspace_roots": "SELECT 'pkg' || c_nationkey || '/src/c' || c_custkey || '.ts' AS file, 'pkg' || c_nationkey || CASE WHEN c_nationkey % 2 = 0 THEN '/src' ELSE '' END AS workspace FROM customer",
+    "search_documents": """SELECT 'src/p' || k || '.rs' AS file, x.s AS symbol, CAST(x.l AS BIGINT) AS line, x.t AS text, trim(regexp_replace(x.t, '\\s+', ' ', 'g')) AS preview FROM (SELECT p_partkey AS k, unnest([
+ {s: 'crate::f' || p_partkey, l: 4, t: concat('/// Part pub fn f', p_partkey, '(x: u8) -> u8 { let s = "g(1)"; g', p_size, '(x) }')}, {s: 'crate::S' || p_partkey, l: 5, t: concat(' struct S', p_partkey, ' { a: u8 }')},
+ {s: 'crate::S' || p_partkey, l: 6, t: concat(' impl S', p_partkey, ' { fn go(&self) -> u8 { self.step(helper', p_size, '()) } }')}, {s: 'crate::S' || p_partkey || '::go', l: 6, t: concat(' fn go(&self) -> u8 { self.step(helper', p_size, '()) }')},
+ {s: 'crate::C', l: 7, t: ' const C: u8 = 1;'}]) AS x FROM part)""",
+    "context_chunks": """SELECT x.s AS symbol, 'src/p' || k || '.rs' AS file, x.t AS text FROM (SELECT p_partkey AS k, unnest([{s: 'crate::f' || p_partkey, t: concat('pub fn f', p_partkey, '(x: u8) -> u8 { let s = "g(1)"; g', p_size, '(x) }')},
+ {s: 'crate::S' || p_partkey, t: concat('struct S', p_partkey, ' { a: u8 }')}, {s: 'crate::S' || p_partkey, t: concat('impl S', p_partkey, ' { fn go(&self) -> u8 { self.step(helper', p_size, '()) } }')},
+ {s: 'crate::S' || p_partkey || '::go', t: concat('impl S', p_partkey, ' { fn go(&self) -> u8 { self.step(helper', p_size, '()) } }')}]) AS x FROM part)""",
+    "context_candidates": "SELECT 'crate::f51' AS symbol, 1.0::DOUBLE AS base_score, 'current' AS reason",
 }
