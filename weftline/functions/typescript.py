@@ -141,7 +141,7 @@ class File:
         for m in _CALL.finditer(t):
             name, a = m["name"], m.start("name") if m["name"] else m.start()
             if name:
-                if (name in _WORDS and name not in ("super", "import")) or a in self.heads:
+                if (name in _WORDS and name not in ("super", "import")) or a in self.heads or (name == "async" and not m["dot"]):
                     continue
                 if not m["dot"] and self.before(m.start()) in ("new", "function", "class", "interface"):
                     continue

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_base
 from ..sources import code
-from . import analysis, bm25
+from . import analysis, bm25, topology
 
 VERSION = "1"
 FIELDS = ["path", "ident", "code"]
@@ -114,7 +114,7 @@ class SourceIndex:
         if force:
             self.clear()
         old = self.manifest()
-        found = code.discover(self.spark, self.root, **options)
+        found = code.listing(self.spark, self.root, **options)
         now = found.select("file", "mtime_ms", "size_bytes")
         before = self.table("files") if old else now.where("false")
         diff = analysis.fingerprint_diff(before, now)
@@ -122,7 +122,10 @@ class SourceIndex:
         diff.write.parquet(f"{path}/diff")
         diff = self.spark.read.parquet(f"{path}/diff")
         now.write.parquet(f"{path}/files")
-        changed = found.join(diff.where("status = 'changed'").select("file"), "file", "left_semi")
+        # contents are read once, of changed files alone; markers of workspaces are sought among all
+        changed = code.with_workspace(found.join(diff.where("status = 'changed'").select("file"), "file", "left_semi"), found)
+        code.with_content(changed, self.root).write.parquet(f"{path}/changed")
+        changed = self.spark.read.parquet(f"{path}/changed")
         syms = code.symbols(changed)
         fresh = {"symbols": syms, "calls": code.calls(changed), "imports": code.imports(changed)}
         for name, t in fresh.items():
@@ -133,8 +136,8 @@ class SourceIndex:
         docs = self.spark.read.parquet(f"{path}/docs")
         bm25.build(bm25.field_terms(docs), FIELDS, f"{path}/bm25")
         _write_text(self.spark, f"{self.home}/manifest.json", json.dumps({"tool_version": VERSION, "root": self.root, "path": path}))
-        if old:
-            fs, at = _fs(self.spark, old["path"])
+        for gone in (f"{path}/changed", *([old["path"]] if old else [])):
+            fs, at = _fs(self.spark, gone)
             fs.delete(at, True)
         r = analysis.index_report(diff).first().asDict()
         new = docs.join(diff.where("status = 'changed'").select("file"), "file", "left_semi").count()
@@ -151,18 +154,22 @@ class SourceIndex:
         bm25.build(bm25.field_terms(self.spark.read.parquet(f"{path}/docs")), FIELDS, f"{path}/bm25")
         _write_text(self.spark, f"{self.home}/manifest.json", json.dumps(m | {"path": path}))
 
+    def topology(self) -> topology.Topology:
+        name = self.root.rstrip("/").rpartition("/")[2] or "root"
+        return topology.build(self.table("files").where(code.language_of_file().isNotNull()).select("file"), self.table("imports"), name)
+
     def stats(self) -> dict:
         return {name: self.table(name).count() for name in _TABLES}
 
     def search(self, query: str, k: int = 10, extra: list[str] = (), build_missing: bool = True) -> DataFrame:
         """Results with file, symbol and line; a missing index is built first, or else is an error."""
-        text_ok = bm25.parse_query(query, list(extra))
+        bm25.parse_query(query, list(extra))
         if not self.exists():
             if not build_missing:
                 raise IndexMissing(f"index_missing: {self.home}")
             self.index()
-        found = bm25.execute(self.bm25(), query, k, FIELDS, list(extra)) if text_ok else None
-        return found.join(self.table("docs").select("doc_id", "symbol", "kind", "line", "preview"), "doc_id").orderBy(F.desc("score"), "file", "start_byte")
+        found = bm25.execute(self.bm25(), query, k, FIELDS, list(extra)).drop("file", "start_byte")
+        return found.join(self.table("docs").drop("text"), "doc_id").orderBy(F.desc("score"), "file", "start_byte")
 
 
 def index_all(spark: SparkSession, roots: dict[str, str]) -> dict[str, dict]:
