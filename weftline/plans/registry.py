@@ -219,6 +219,8 @@ _GRAPH = """sy AS (SELECT p_partkey AS seq, p_name AS name, 'p::' || p_partkey A
 e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL),
 ca AS (SELECT 'p::' || src AS caller, p_name AS callee FROM e JOIN part ON dst = p_partkey),
 g AS (SELECT DISTINCT caller AS src, 'name ' || callee AS dst FROM ca UNION ALL SELECT 'name ' || name, id FROM sy)"""
+_BRAND = _GRAPH.partition(",\n")[0] + """,
+g AS (SELECT DISTINCT 'p::' || src AS src, 'p::' || dst AS dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey, p_brand ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE dst IS NOT NULL)"""
 _LIVE = "live AS (SELECT id FROM sy WHERE pub UNION SELECT g.dst FROM live JOIN g ON live.id = g.src)"
 
 
@@ -262,23 +264,40 @@ def entry_points(spark, d):
     return A.entry_points(s.withColumns({"kind": kind, "name": name, "attributes": F.when(F.col("seq") % 17 == 0, F.array(F.lit("#[test]"))).otherwise(F.col("attributes"))})).select("scoped_name")
 
 
+def _own_symbols(spark, d):
+    """Parts with names of their own."""
+    return _symbols(spark, d).withColumn("name", F.concat("name", F.lit(" "), "seq"))
+
+
+def _brand_calls(spark, d):
+    """The part of each line of an order calls that of the next line of the same brand."""
+    w = W.partitionBy("l_orderkey", "p_brand").orderBy("l_linenumber", "l_partkey")
+    li = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    e = li.select(F.concat(F.lit("p::"), "l_partkey").alias("caller"), F.lead(F.concat("p_name", F.lit(" "), "p_partkey")).over(w).alias("callee_name"))
+    return e.where("callee_name is not null").distinct()
+
+
+def _dead(spark, d):
+    return A.dead_symbols(_own_symbols(spark, d), _brand_calls(spark, d))
+
+
 def dead_symbols(spark, d):
-    return A.dead_symbols(_symbols(spark, d), _calls(spark, d)).select("scoped_name")
+    return _dead(spark, d).select("scoped_name")
 
 
 def dead_report(spark, d):
     """Number of dead symbols and the first 50 of them."""
-    n, first = A.dead_report(A.dead_symbols(_symbols(spark, d), _calls(spark, d)).select("scoped_name"))
+    n, first = A.dead_report(materialize(_dead(spark, d).select("scoped_name"), "dead"))
     return spark.createDataFrame([(n, r["scoped_name"]) for r in first], "dead_count bigint, scoped_name string")
 
 
 def potentially_live(spark, d):
-    return A.potentially_live(A.dead_symbols(_symbols(spark, d), _calls(spark, d))).select("scoped_name")
+    return A.potentially_live(_dead(spark, d)).select("scoped_name")
 
 
 def reachability(spark, d):
-    s = _symbols(spark, d)
-    return A.reached(s.where("visibility = 'public'"), s, _calls(spark, d))
+    s = _own_symbols(spark, d)
+    return A.reached(s.where("visibility = 'public'"), s, _brand_calls(spark, d))
 
 
 def pagerank(spark, d):
@@ -558,10 +577,10 @@ round(sum(rel / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM m, range(1,
     "find_tests": f"WITH {_GRAPH} SELECT id AS scoped_name FROM sy WHERE kind = 'const' OR seq % 7 = 0",
     "resolve_callee": f"WITH {_GRAPH} SELECT name, id AS scoped_name FROM sy WHERE name IN (SELECT callee FROM ca) QUALIFY row_number() OVER (PARTITION BY name ORDER BY pub DESC, seq) = 1",
     "entry_points": f"WITH {_GRAPH} SELECT id AS scoped_name FROM sy WHERE pub OR seq % 11 = 0 OR seq % 17 = 0 OR (seq % 13 = 0 AND kind = 'function')",
-    "dead_symbols": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live)",
-    "potentially_live": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live) AND (kind = 'const' OR regexp_matches(p_type, 'derive|macro|no_mangle|export_name|link_name|used'))",
-    "dead_report": f"WITH RECURSIVE {_GRAPH}, {_LIVE}, dd AS (SELECT id FROM sy WHERE id NOT IN (SELECT id FROM live)) SELECT (SELECT count(*) FROM dd) AS dead_count, id AS scoped_name FROM dd ORDER BY id LIMIT 50",
-    "reachability": f"WITH RECURSIVE {_GRAPH}, {_LIVE} SELECT id FROM live WHERE id IN (SELECT id FROM sy)",
+    "dead_symbols": f"WITH RECURSIVE {_BRAND}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live)",
+    "potentially_live": f"WITH RECURSIVE {_BRAND}, {_LIVE} SELECT id AS scoped_name FROM sy WHERE id NOT IN (SELECT id FROM live) AND (kind = 'const' OR regexp_matches(p_type, 'derive|macro|no_mangle|export_name|link_name|used'))",
+    "dead_report": f"WITH RECURSIVE {_BRAND}, {_LIVE}, dd AS (SELECT id FROM sy WHERE id NOT IN (SELECT id FROM live)) SELECT (SELECT count(*) FROM dd) AS dead_count, id AS scoped_name FROM dd ORDER BY id LIMIT 50",
+    "reachability": f"WITH RECURSIVE {_BRAND}, {_LIVE} SELECT id FROM live WHERE id IN (SELECT id FROM sy)",
     "pagerank": _PAGERANK,
     "topology_rank": f"SELECT id, format('{{:.4f}}', score) AS score FROM ({_PAGERANK}) ORDER BY round(score, 10) DESC, id LIMIT 20",
     "import_resolution": "WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS node, p_partkey AS k FROM part), n AS (SELECT node, min(k) AS first FROM w GROUP BY node) SELECT p_partkey, node FROM part JOIN n ON contains(p_name, node) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY first, node) = 1",
