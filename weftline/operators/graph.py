@@ -6,17 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shared_dir
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) reachable from roots (id) along edges (src, dst), roots included. One round per level; only the frontier joins."""
-    seen = frontier = materialize(roots.select("id").distinct(), "reach")
-    while frontier.limit(1).count():
+    """(id) reachable from roots (id) along edges (src, dst), roots included.
+
+    One round per level; only the frontier joins the edges. Levels are written below one folder, so that what has been
+    seen is one table whose plan doesn't grow.
+    """
+    spark, path = roots.sparkSession, shared_dir(roots.sparkSession, "reach")
+    schema = f"id {roots.schema['id'].dataType.simpleString()}, level int"
+    roots.select("id").distinct().write.parquet(f"{path}/level=0")
+    k = 0
+    while True:
+        seen = spark.read.schema(schema).parquet(path)
+        frontier = seen.where(F.col("level") == k)
+        if not frontier.limit(1).count():
+            return seen.select("id")
         step = frontier.join(edges, frontier.id == edges.src).select(F.col("dst").alias("id")).distinct()
-        frontier = materialize(step.join(seen, "id", "left_anti"), "reach")
-        seen = seen.unionByName(frontier)
-    return seen
+        k += 1
+        step.join(seen.select("id"), "id", "left_anti").write.parquet(f"{path}/level={k}")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
