@@ -141,3 +141,21 @@ def test_neardup_finds_every_link_of_the_test_table(spark):
     exp = {k: find(reps[x]) for k, x in sets.items()}
     got = {r["doc_id"]: r["component_id"] for r in neardup.dedup(docs, count=False).where("n_shingles > 0").collect()}
     assert got == exp
+
+
+def test_neardup_compares_each_pair_of_texts_once(spark, monkeypatch):
+    """Rows that repeat, and other texts under the ids of a pair, don't multiply the pairs whose full sets are compared."""
+    r, seen, confirm = random.Random(8), [], neardup._confirm
+
+    def counted(pairs, sets):
+        got = common.persist(confirm(pairs, sets), "counted")
+        seen.append(got.count())
+        return got
+
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    w = [f"w{i}" for i in range(100)]
+    near, other = " ".join(w[:50] + ["new"] + w[51:]), [" ".join(f"o{r.randrange(10**6)}" for _ in range(100)) for _ in range(40)]
+    rows = [(1, " ".join(w))] * 30 + [(2, near)] * 30 + [(1 + k % 2, t) for k, t in enumerate(other)]
+    out = neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(out) == 100 and {(x["doc_id"], x["component_id"], x["kept"]) for x in out} == {(1, 1, True), (2, 1, False)}
+    assert sum(seen) == 1
