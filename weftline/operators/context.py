@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 from . import graph
 
 
@@ -57,15 +58,14 @@ def symbol_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def type_symbol(symbols: DataFrame, names: DataFrame) -> DataFrame:
     """(name, symbol): the first struct, enum or trait of each name, in order of file and place."""
-    s = symbols.where(F.col("kind").isin("struct", "enum", "trait"))
-    return names.select("name").distinct().join(s.groupBy("name").agg(F.min_by("scoped_name", F.struct("file", "start_byte")).alias("symbol")), "name")
+    s = symbols.where(F.col("kind").isin("struct", "enum", "trait")).join(names.select("name").distinct(), "name", "left_semi")
+    return s.groupBy("name").agg(F.min_by("scoped_name", F.struct("file", "start_byte")).alias("symbol"))
 
 
 def import_symbol(symbols: DataFrame, names: DataFrame, ranks: DataFrame) -> DataFrame:
     """(name, symbol): of the definitions of each name that in the file of highest rank, then the first."""
-    s = symbols.join(ranks.select("file", "pagerank"), "file", "left")
-    best = s.groupBy("name").agg(F.min_by("scoped_name", F.struct(-F.coalesce("pagerank", F.lit(0.0)), F.col("file"), F.col("start_byte"))).alias("symbol"))
-    return names.select("name").distinct().join(best, "name")
+    s = symbols.join(names.select("name").distinct(), "name", "left_semi").join(ranks.select("file", "pagerank"), "file", "left")
+    return s.groupBy("name").agg(F.min_by("scoped_name", F.struct(-F.coalesce("pagerank", F.lit(0.0)), F.col("file"), F.col("start_byte"))).alias("symbol"))
 
 
 def candidates(symbols: DataFrame, calls: DataFrame, imports: DataFrame, ranks: DataFrame, current: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def candidates(symbols: DataFrame, calls: DataFrame, imports: DataFrame, ranks:
     The symbol 1.0, the definitions it calls 0.8, its parent 0.7, its first five callers 0.6, types of its signature 0.5, what the file's
     first five imports name 0.4.
     """
-    here = current.select("scoped_name", "name", "file", "parent", "signature")
+    here = materialize(current.select("scoped_name", "name", "file", "parent", "signature"), "current")  # one row, that everything below starts from
     rated = lambda df, score, reason: df.select("symbol", F.lit(score).alias("base_score"), F.lit(reason).alias("reason"))
     called = calls.join(here.select(F.col("scoped_name").alias("caller")), "caller").select(F.col("callee_name").alias("name"))
     callees = graph.resolve_callees(called, symbols.withColumn("seq", F.struct("file", "start_byte"))).select(F.col("scoped_name").alias("symbol"))

@@ -105,8 +105,8 @@ def call_graph(symbols_raw: DataFrame, edges: DataFrame, name: str, direction: s
 
 def resolve_callees(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """(name, scoped_name): for each name its first public definition, else its first."""
-    best = symbols.groupBy("name").agg(F.min_by("scoped_name", F.struct((F.col("visibility") != "public").cast("int"), "seq")).alias("scoped_name"))
-    return names.select("name").distinct().join(best, "name")
+    own = symbols.join(names.select("name").distinct(), "name", "left_semi")
+    return own.groupBy("name").agg(F.min_by("scoped_name", F.struct((F.col("visibility") != "public").cast("int"), "seq")).alias("scoped_name"))
 
 
 def first_per_group(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
