@@ -18,14 +18,15 @@ def entry_points(symbols: DataFrame) -> DataFrame:
 def reached(roots: DataFrame, symbols: DataFrame, calls: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(id) that calls (caller, callee_name) and edges `more` (src, dst) reach from roots, which are included.
 
-    A name is a node between its callers and its definitions, so a name of many of both costs their sum.
+    A name is a node between its callers and its definitions, so a name of many of both costs their sum. Repeated calls need not be
+    made distinct first, as what a level reaches is.
     """
     named = lambda c: F.struct(F.lit(True).alias("name"), F.col(c).alias("id"))
     plain = lambda c: F.struct(F.lit(False).alias("name"), F.col(c).alias("id"))
     edges = calls.select(plain("caller").alias("src"), named("callee_name").alias("dst")).unionByName(symbols.select(named("name").alias("src"), plain("scoped_name").alias("dst")))
     if more is not None:
         edges = edges.unionByName(more.select(plain("src").alias("src"), plain("dst").alias("dst")))
-    return reachable(roots.select(plain("scoped_name").alias("id")), materialize(edges.distinct(), "call-edges")).where("not id.name").select("id.id")
+    return reachable(roots.select(plain("scoped_name").alias("id")), materialize(edges, "call-edges")).where("not id.name").select("id.id")
 
 
 def dead_symbols(symbols: DataFrame, calls: DataFrame) -> DataFrame:
